@@ -35,7 +35,7 @@ PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
 FULL_WORDS = regex.compile(WORDS)
 #: Words longer than this aren't kept in a worker's table, which holds twice so many words at most.
-KEEP_CHARS, KEEP_WORDS, KEEP_ARCS = 48, 250_000, 2_000_000
+KEEP_CHARS, KEEP_WORDS, KEEP_ARCS = 48, 100_000, 500_000
 
 
 def byte_chars() -> dict[str, int]:

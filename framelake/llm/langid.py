@@ -33,7 +33,7 @@ UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, BLOCK = 1 << 16, 32
 #: Words that a worker keeps the emission scores of.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -318,7 +318,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
                 if t is not ...:
                     part.append(t)
                     chars += len(t or "")
-                if part and (t is ... or chars >= 2_000_000):
+                if part and (t is ... or chars >= 1_000_000):
                     a, b = own.texts(part)
                     langs += a
                     scores += b
