@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.catalog import Catalog
 from framelake.functions import wire as W
+from framelake.functions.stage import staged
 from framelake.plans.compiler import Layout
 from framelake.types import FieldType as T
 
@@ -47,13 +48,16 @@ def _flag(v: Column, bit: int) -> Column:
     return F.shiftright(v, bit).bitwiseAND(F.lit(1)) == 1
 
 
-def _some(value: Column) -> Column:
-    return F.array_compact(F.array(value))
+def _header_sum(d: Column, at: Column) -> Column:
+    """The folded sum of an IPv4 header: 65535 if its checksum is right. 32-bit words fold to what 16-bit words do; options, which are rare, are added word by word."""
+    total = sum((W.be(d, at + 4 * i, 4) for i in range(1, 5)), W.be(d, at, 4))
+    options = F.substring(d, at + 21, (F.col("__hl") - 20).cast("int"))
+    total = total + F.when(F.col("__hl") > 20, W.words_sum(options)).otherwise(0)
+    return W.fold(W.fold(total))
 
 
-def staged(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are worked out once: the planner doesn't copy their expressions into what uses them, which would double with every layer."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+def _some(value: Column) -> Column:
+    return F.array_compact(F.array(value))
 
 
 def headers(frames: DataFrame, data: str = "data") -> DataFrame:
@@ -120,7 +124,7 @@ def dissect(frames: DataFrame, data: str = "data", frame_id: str = "frame_id", t
         "arp.opcode": on(arp, u(d, l3 + 6, 2)), "arp.src.hw_mac": on(arp, u(d, l3 + 8, 6)), "arp.src.proto_ipv4": on(arp, u(d, l3 + 14, 4)), "arp.dst.hw_mac": on(arp, u(d, l3 + 18, 6)), "arp.dst.proto_ipv4": on(arp, u(d, l3 + 24, 4)),
         "arp.isgratuitous": on(arp, u(d, l3 + 14, 4) == u(d, l3 + 24, 4)), "arp.isprobe": on(arp, (u(d, l3 + 6, 2) == 1) & (u(d, l3 + 14, 4) == 0)),
         "ip.version": on(ip, F.lit(4).cast("bigint")), "ip.hdr_len": on(ip, F.col("__hl")), "ip.len": on(ip, u(d, l3 + 2, 2)), "ip.id": on(ip, u(d, l3 + 4, 2)), "ip.flags.df": on(ip, _flag(F.col("__frag"), 14)), "ip.flags.mf": on(ip, _flag(F.col("__frag"), 13)), "ip.frag_offset": on(ip, F.col("__frag").bitwiseAND(F.lit(0x1FFF)) * 8),
-        "ip.ttl": on(ip, u(d, l3 + 8, 1)), "ip.proto": on(ip, u(d, l3 + 9, 1)), "ip.checksum": on(ip, u(d, l3 + 10, 2)), "ip.checksum.ok": on(ip, W.internet_checksum(F.substring(d, l3 + 1, F.col("__hl").cast("int"))) == 0), "ip.src": on(ip, u(d, l3 + 12, 4)), "ip.dst": on(ip, u(d, l3 + 16, 4)),
+        "ip.ttl": on(ip, u(d, l3 + 8, 1)), "ip.proto": on(ip, u(d, l3 + 9, 1)), "ip.checksum": on(ip, u(d, l3 + 10, 2)), "ip.checksum.ok": on(ip, _header_sum(d, l3) == 65535), "ip.src": on(ip, u(d, l3 + 12, 4)), "ip.dst": on(ip, u(d, l3 + 16, 4)),
         "ipv6.tclass": on(v6, F.shiftright(u(d, l3, 2), 4).bitwiseAND(F.lit(255))), "ipv6.flow": on(v6, u(d, l3, 4).bitwiseAND(F.lit(0xFFFFF))), "ipv6.plen": on(v6, u(d, l3 + 4, 2)), "ipv6.nxt": on(v6, u(d, l3 + 6, 1)), "ipv6.hlim": on(v6, u(d, l3 + 7, 1)), "ipv6.src": on(v6, W.raw(d, l3 + 8, l3 + 24)), "ipv6.dst": on(v6, W.raw(d, l3 + 24, l3 + 40)),
         "icmp.type": on(icmp, u(d, at, 1)), "icmp.code": on(icmp, u(d, at + 1, 1)), "icmp.checksum": on(icmp, u(d, at + 2, 2)), "icmpv6.type": on(icmpv6, u(d, at, 1)), "icmpv6.code": on(icmpv6, u(d, at + 1, 1)),
         "udp.srcport": on(udp, u(d, at, 2)), "udp.dstport": on(udp, u(d, at + 2, 2)), "udp.length": on(udp, u(d, at + 4, 2)), "udp.checksum": on(udp, u(d, at + 6, 2)), "udp.payload": on(udp, F.col("__payload")),
@@ -158,10 +162,13 @@ def ethernet(dst: Column, src: Column, kind: Column, payload: Column, *vlans: Co
 
 
 def ipv4(src: Column, dst: Column, proto: Column, payload: Column, ttl: Column | None = None, ident: Column | None = None, frag: Column | None = None) -> Column:
-    zero = F.lit(0)
-    head = [hexed("4500"), W.be_bytes(F.octet_length(payload) + 20, 2), W.be_bytes(ident if ident is not None else zero, 2), W.be_bytes(frag if frag is not None else zero, 2), W.be_bytes(ttl if ttl is not None else F.lit(64), 1), W.be_bytes(proto, 1)]
-    ends = [W.be_bytes(src, 4), W.be_bytes(dst, 4)]
-    return _cat(*head, W.be_bytes(W.internet_checksum(_cat(*head, hexed("0000"), *ends)), 2), *ends, payload)
+    size = F.octet_length(payload) + 20
+    ident, frag, ttl = (F.lit(default) if c is None else c for c, default in ((ident, 0), (frag, 0), (ttl, 64)))
+    words = F.lit(0x4500).cast("bigint") + size + ident + frag + F.shiftleft(ttl.cast("bigint"), 8) + proto
+    for address in (src, dst):
+        words = words + F.shiftright(address, 16) + address.bitwiseAND(F.lit(65535))
+    checksum = F.lit(65535) - W.fold(words)
+    return _cat(hexed("4500"), W.be_bytes(size, 2), W.be_bytes(ident, 2), W.be_bytes(frag, 2), W.be_bytes(ttl, 1), W.be_bytes(proto, 1), W.be_bytes(checksum, 2), W.be_bytes(src, 4), W.be_bytes(dst, 4), payload)
 
 
 def udp(src: Column, dst: Column, payload: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.catalog import Catalog, Field, FilterError
+from framelake.functions.stage import staged
 from framelake.lang import nodes as N
 from framelake.lang.parser import parse
 from framelake.types import NODE_COLUMN, NUMBERS, WIDTH, FieldType, to_bytes
@@ -49,7 +50,8 @@ def compare(v: Column, kind: FieldType, op: str, lit: N.Literal) -> Column:
 class Layout:
     """Where a frame keeps packets: an array column for each field (its position is the occurrence), an array of nodes, or both.
 
-    nodes: array<struct<name, node_id, parent, depth, stop, i64, f64, str, bin, dec, bool>>, stop being the last node below.
+    nodes: array<struct<name, node_id, parent, depth, stop, i64, f64, str, bin, dec, bool>> in pre-order: node_id is the place in
+    the array, stop the last node below, so that what is below a node is one slice.
     exhaustive: `protocols` names the protocol of every field there is, so that presence implies it.
     """
 
@@ -93,7 +95,7 @@ class Compiler:
 
     def in_domain(self, domain: Column | None) -> Column:
         nodes = F.coalesce(F.col(self.layout.nodes), F.array())
-        return nodes if domain is None else F.filter(F.col(self.layout.nodes), lambda n: (n["node_id"] >= domain["node_id"]) & (n["node_id"] <= domain["stop"]))
+        return nodes if domain is None else F.slice(nodes, domain["node_id"] + 1, domain["stop"] - domain["node_id"] + 1)
 
     def values(self, f: Field, domain: Column | None) -> Column:
         """All occurrences, in order; an empty or null array where there is none."""
@@ -101,8 +103,7 @@ class Compiler:
             return F.col(f"`{self.layout.columns[f.name]}`")
         if not self.layout.nodes:
             raise FilterError(f"{f.name} isn't part of this layout")
-        lo, hi = (None, None) if domain is None else (domain["node_id"], domain["stop"])
-        own = F.filter(F.col(self.layout.nodes), lambda n: (n["name"] == f.name) & (F.lit(True) if domain is None else (n["node_id"] >= lo) & (n["node_id"] <= hi)))
+        own = F.filter(self.in_domain(domain), lambda n: n["name"] == f.name)
         return F.transform(own, lambda n: n[NODE_COLUMN[f.type]]) if f.type in NODE_COLUMN else F.transform(own, lambda n: n["name"])
 
     def any_of(self, operand: N.Operand, domain: Column | None, test) -> Column:
@@ -286,6 +287,8 @@ def apply_filter(df: DataFrame, text: str, layout: Layout, short_circuit: bool =
     if isinstance(f.node, N.Const) and f.node.value:
         return df
     out = df
+    if any(isinstance(x, N.Scope) for x in N.walk(f.node)):
+        out = staged(out, **{layout.nodes: F.col(layout.nodes)})  # else the tree is built again at each of its uses, of which some are once a hit
     for call in f.flanks:
         out = add_flank(out, call, layout, partition_by or [])
     if f.implied is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.catalog import Catalog
+from framelake.functions.stage import staged
 from framelake.plans.compiler import Layout
 from framelake.types import NODE_TYPES, FieldType
 
@@ -156,8 +157,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         port = F.when(F.col("event_type") == name, number).otherwise(port)
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.coalesce(F.col("props"), F.lit("")).cast("binary").alias("payload"), (1024 + user % 50000).alias("source"), port.alias("port"))
     payload, tcp = F.col("payload"), F.col("event_type") == "purchase"
-    e = wire.staged(e, segment=F.when(tcp, wire.tcp(F.col("source"), F.col("port"), eid * 100, F.lit(1), F.lit(0x18), payload)).otherwise(wire.udp(F.col("source"), F.col("port"), payload)))
-    e = wire.staged(e, packet=wire.ipv4(F.lit(0x0A000000) + user, F.lit(0xC0A80001), F.when(tcp, 6).otherwise(17), F.col("segment"), 64 - eid % 8, eid % 65536))
+    e = staged(e, segment=F.when(tcp, wire.tcp(F.col("source"), F.col("port"), eid * 100, F.lit(1), F.lit(0x18), payload)).otherwise(wire.udp(F.col("source"), F.col("port"), payload)))
+    e = staged(e, packet=wire.ipv4(F.lit(0x0A000000) + user, F.lit(0xC0A80001), F.when(tcp, 6).otherwise(17), F.col("segment"), 64 - eid % 8, eid % 65536))
     ends = F.lit(0x020000000001), F.lit(0x020000000000) + user, F.lit(0x800), F.col("packet")
     framed = F.when(eid % 30 == 0, wire.ethernet(*ends, user % 4095, eid % 4095)).when(eid % 10 == 0, wire.ethernet(*ends, user % 4095)).otherwise(wire.ethernet(*ends))
-    return wire.staged(e, data=framed).select(eid.alias("frame_id"), nanos("ts").alias("timestamp_ns"), "data")
+    return staged(e, data=framed).select(eid.alias("frame_id"), nanos("ts").alias("timestamp_ns"), "data")
