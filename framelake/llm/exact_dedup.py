@@ -143,7 +143,8 @@ def groups(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFr
     found = _verified(docs, digest)
     # rows that agree in text and doc_id are interchangeable: they are counted, and told apart again at the end
     pairs = found.groupBy("recipe", "doc_id").agg(F.count("*").alias("copies"), F.first("text_sha256").alias("text_sha256"))
-    best = found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written first, so that both sides of the join are plain exchanges, of which Spark splits a part that one recipe fills
+    best = cut(found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     each = pairs.join(best, "recipe")
     numbered = each.select("doc_id", "keep_id", "group_size", "text_sha256", "copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i"))
     return numbered.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256", "copies")
