@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Every step is an aggregation with map-side partial minima and an equi-join, so that neither a
-component nor the list of links ever has to fit in one task or in the driver.
+component nor the list of links ever has to fit in one task or in the driver. The minima are
+written before they are joined: both sides of the join are then plain exchanges, and Spark splits
+the part that the hub of a large component fills.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if _is_star_forest(e):
             break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
     else:
