@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import release_memory
+
 #: How byte-level tokenizers split a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts whose characters the two libraries' classes agree on, which is faster.
@@ -266,5 +268,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 ids = own.encode(t) if t else ""
                 rows.append((ids.count(",") + 1 if ids else 0, sha(ids.encode()).hexdigest(), sha(own.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            del batch, rows
+        release_memory()
 
     return docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.*")

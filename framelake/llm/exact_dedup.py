@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut
+from framelake.llm.common import cut, release_memory
 
 #: Bytes of a chunk: at least, about (a power of two), at most.
 LEAST, ABOUT, MOST = 256, 1024, 4096
@@ -100,6 +100,8 @@ def recipes(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataF
         for batch in batches:
             ids = [[d for d, _ in own] for own in _chunks(batch.column(2), digest)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.binary()))], ["doc_id", "text_sha256", "recipe"])
+            del batch, ids
+        release_memory()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("text")).mapInArrow(run, schema)
@@ -112,6 +114,8 @@ def distinct_chunks(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256)
         for batch in batches:
             seen = {(d, c) for own in _chunks(batch.column(0), digest) for d, c in own}
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.binary())], ["digest", "bytes"])
+            del batch, seen
+        release_memory()
 
     return docs.select("text").mapInArrow(run, "digest binary, bytes binary").distinct()
 

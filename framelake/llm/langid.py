@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import release_memory
+
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS, BLOCK = 1 << 16, 32
@@ -324,6 +326,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
                     scores += b
                     part, chars = [], 0
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            del batch, t
+        release_memory()
 
     return run(F.col(text))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import cut
+from framelake.llm.common import cut, release_memory
 from framelake.llm.components import components
 
 LIGHT = 32
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(np.array([simhash(t, shingle) for t in batch], np.uint64).view(np.int64))
+        release_memory()
 
     return docs.select("doc_id", run(F.col("text")).alias("fp"))
 
