@@ -43,16 +43,18 @@ EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, rank, kind, version, start, stop) of blobs (blob, text, todo: the ranks of the rules to apply)."""
-    found = None
-    for rank, rule in enumerate(rules):
-        pattern = F.lit(rule.pattern)
-        part = blobs.filter(F.array_contains("todo", rank) & F.col("text").rlike(rule.pattern))
-        parts = part.select("blob", F.posexplode(F.arrays_zip(F.slice(gaps := F.split("text", rule.pattern, -1), F.lit(1), F.size(gaps) - 1).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("match"), F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("value"))).alias("pos", "hit"))
-        lengths = parts.select("blob", "pos", F.length("hit.gap").alias("gap"), F.length("hit.match").alias("match"), F.length("hit.value").alias("value"))
-        stop = F.sum(F.col("gap") + F.col("match")).over(Window.partitionBy("blob").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        one = lengths.select("blob", F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), "match", "value", stop.alias("stop")).filter(F.col("value") >= rule.least).select("blob", "rank", "kind", "version", (F.col("stop") - F.col("match")).alias("start"), "stop")
-        found = one if found is None else found.unionAll(one)
-    return found
+
+    def hits(rank: int, rule: Rule) -> Column:
+        gaps = F.split("text", rule.pattern, -1)
+        zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("gap"), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)).alias("match"), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)).alias("value"))
+        lengths = F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("match"), F.length(x["value"]).alias("value")))
+        return F.when(F.array_contains("todo", rank) & F.col("text").rlike(rule.pattern), lengths).otherwise(F.array())
+
+    lengths = blobs.select("blob", F.explode(F.concat(*[hits(i, r) for i, r in enumerate(rules)])).alias("hit")).select("blob", "hit.*")
+    stop = F.sum(F.col("gap") + F.col("match")).over(Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    of_rule = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rank") + 1)
+    placed = lengths.withColumn("stop", stop).filter(F.col("value") >= of_rule([r.least for r in rules]))
+    return placed.select("blob", "rank", of_rule([r.kind for r in rules]).alias("kind"), of_rule([r.version for r in rules]).alias("version"), (F.col("stop") - F.col("match")).alias("start"), "stop")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
