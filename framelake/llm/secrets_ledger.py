@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.llm.common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -85,6 +87,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | Non
     listed = F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop")))
     by_blob = findings.groupBy("blob").agg(*[F.count_if(F.col("rank") == i).alias(f"n_{r.kind}") for i, r in enumerate(rules)], listed.alias("found"))
     by_blob = by_blob.withColumn("spans", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")).drop("found")
+    by_blob = cut(by_blob)  # what the ledger keeps anyhow; Spark can then split a blob that fills a partition of the paths
     report = paths.select("doc_id", "blob").join(by_blob, "blob", "left")
     spans = F.coalesce("spans", F.lit(""))
     return report.select("doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob"), findings, added
