@@ -80,7 +80,11 @@ class Model:
 
 def corpus_lines(docs: DataFrame, training: Training) -> list[str]:
     """A bounded sample of lines, by hash, that share no rare word with a template."""
-    lines = docs.select("doc_id", F.col("text")).filter("text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(training.seed))).orderBy("h", "doc_id").limit(training.corpus_lines // 5)
+    n = training.corpus_lines // 5
+    h = F.pmod(F.xxhash64("doc_id", F.lit(training.seed)), F.lit(1 << 30))
+    # the hash leaves about twice as many rows as are wanted, so that no task is sent a part of every partition
+    share = min(1.0, 2 * n / max(1, docs.count()))
+    lines = docs.select("doc_id", "text", h.alias("h")).filter(F.col("text").isNotNull() & (F.col("h") < int(share * (1 << 30)))).orderBy("h", "doc_id").limit(n)
     rare = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t) if w not in COMMON and len(w) > 3})
     picked = lines.select(F.explode(F.slice(F.split("text", "\n"), 1, 40)).alias("line")).filter(~F.lower("line").rlike(r"\b(" + "|".join(rare) + r")\b")).select(F.substring("line", 1, 2000).alias("line"))
     return [r["line"] for r in picked.limit(training.corpus_lines).collect()]
