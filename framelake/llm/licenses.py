@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import cut
+
 #: Short statements and openings of well-known licences, by family.
 TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
@@ -162,6 +164,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     n = F.size("words")
     windows = F.when(n <= WINDOW, F.array(F.col("words"))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)) + WINDOW // 2 - 1, F.lit(WINDOW // 2)), lambda i: F.slice("words", i + 1, WINDOW)))
     parts = lines.select("doc_id", "paragraph", words.alias("words")).select("doc_id", "paragraph", F.posexplode(windows).alias("part", "words")).withColumn("key", F.array_join("words", " "))
+    parts = cut(parts)  # paragraphs with an anchor: few, and costly to find twice
     each = parts.select("key", "words").dropDuplicates(["key"])
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.coalesce(F.try_element_at("words", i + 1), F.lit(""))))
     found = each.select("key", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
