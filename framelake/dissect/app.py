@@ -277,16 +277,16 @@ def tls(data: bytes) -> Iterator[Node]:
             while extensions.left:
                 code = extensions.u(2)
                 e = Bytes(extensions.take(extensions.u(2)))
-                yield "tls.extension", 4, None
-                yield "tls.extension.type", 5, code
+                yield "tls.handshake.extension", 4, None
+                yield "tls.handshake.extension.type", 5, code
                 if code == 0 and what == 1 and e.left:
                     e.u(2)
                     e.u(1)
-                    yield "tls.extension.server_name", 5, e.take(e.u(2)).decode("latin-1")
+                    yield "tls.handshake.extensions.server_name", 5, e.take(e.u(2)).decode("latin-1")
                 elif code == 16:
                     e.u(2)
                     while e.left:
-                        yield "tls.extension.alpn", 5, e.take(e.u(1)).decode("latin-1")
+                        yield "tls.handshake.extensions.alpn_str", 5, e.take(e.u(1)).decode("latin-1")
 
 
 @register("json")
@@ -298,16 +298,16 @@ def json_text(data: bytes) -> Iterator[Node]:
             yield "json.object", depth, None
             for k, x in v.items():
                 yield "json.member", depth + 1, None
-                yield "json.member.name", depth + 2, k
+                yield "json.key", depth + 2, k
                 yield from value(x, depth + 2)
         elif isinstance(v, list):
             yield "json.array", depth, None
             for x in v:
                 yield from value(x, depth + 1)
-        elif v is None:
-            yield "json.null", depth, None
+        elif v is None or isinstance(v, bool):
+            yield {None: "json.value.null", True: "json.value.true", False: "json.value.false"}[v], depth, v
         else:
-            yield {bool: "json.bool", int: "json.integer", float: "json.number", str: "json.string"}[type(v)], depth, v
+            yield "json.value.string" if isinstance(v, str) else "json.value.number", depth, v
 
     try:
         parsed = json.loads(data)
@@ -370,7 +370,7 @@ def someip(data: bytes) -> Iterator[Node]:
         if size < 8:
             raise Malformed("bad length")
         yield "someip", 1, data[start : start + 8 + size]
-        for name, value in (("service_id", service), ("method_id", method), ("length", size), ("client_id", b.u(2)), ("session_id", b.u(2)), ("protocol_version", b.u(1)), ("interface_version", b.u(1)), ("message_type", b.u(1)), ("return_code", b.u(1))):
+        for name, value in (("serviceid", service), ("methodid", method), ("length", size), ("clientid", b.u(2)), ("sessionid", b.u(2)), ("protocol_version", b.u(1)), ("ifversion", b.u(1)), ("msgtype", b.u(1)), ("returncode", b.u(1))):
             yield f"someip.{name}", 2, value
         yield "someip.payload", 2, b.take(size - 8)
 
@@ -467,3 +467,110 @@ def dissect(df: DataFrame, names: list[str] | None = None) -> DataFrame:
             yield out
 
     return df.select("packet_id", "app", "payload").filter("payload is not null").mapInPandas(run, NODE_SCHEMA)
+
+
+# cooked link layers and vehicle buses
+
+
+@register("sll")
+def sll(data: bytes) -> Iterator[Node]:
+    """Linux cooked capture, version 1."""
+    b = Bytes(data)
+    yield "sll", 1, data[:16]
+    yield "sll.pkttype", 2, b.u(2)
+    yield "sll.hatype", 2, b.u(2)
+    size = b.u(2)
+    yield "sll.halen", 2, size
+    address = b.take(8)
+    yield "sll.src.eth", 2, int.from_bytes(address[:6], "big") if size >= 6 else 0
+    yield "sll.etype", 2, b.u(2)
+
+
+@register("sll2")
+def sll2(data: bytes) -> Iterator[Node]:
+    b = Bytes(data)
+    yield "sll2", 1, data[:20]
+    for name, n in (("etype", 2), ("reserved", 2), ("if_index", 4), ("hatype", 2), ("pkttype", 1)):
+        yield f"sll2.{name}", 2, b.u(n)
+    size = b.u(1)
+    yield "sll2.halen", 2, size
+    address = b.take(8)
+    yield "sll2.src.eth", 2, int.from_bytes(address[:6], "big") if size >= 6 else 0
+
+
+@register("llc")
+def llc(data: bytes) -> Iterator[Node]:
+    b = Bytes(data)
+    yield "llc", 1, data
+    yield "llc.dsap", 2, b.u(1)
+    yield "llc.ssap", 2, b.u(1)
+    control = b.u(1)
+    if control & 3 != 3:
+        control = control << 8 | b.u(1)
+    yield "llc.control", 2, control
+    if data[:3] == b"\xaa\xaa\x03":
+        yield "llc.oui", 2, b.take(3)
+        yield "llc.type", 2, b.u(2)
+
+
+#: What the two-bit codes of a LIN header stand for.
+LIN_TYPES = ("Frame", "Event-triggered", "Sporadic", "Event")
+LIN_CHECKSUMS = ("Unknown/Error", "Classic", "Enhanced", "Undefined")
+
+
+def lin_parity(ident: int) -> int:
+    bit = lambda i: ident >> i & 1
+    return (bit(0) ^ bit(1) ^ bit(2) ^ bit(4)) | (1 ^ bit(1) ^ bit(3) ^ bit(4) ^ bit(5)) << 1
+
+
+def lin_checksum(data: bytes, start: int = 0) -> int:
+    """The inverted sum with carries; start: 0 in the classic form, the protected id in the enhanced one."""
+    total = start
+    for c in data:
+        total += c
+        total = total - 255 if total > 255 else total
+    return 255 - total
+
+
+@register("lin")
+def lin(data: bytes) -> Iterator[Node]:
+    b = Bytes(data)
+    revision, _, packed, pid, checksum, errors = b.u(1), b.take(3), b.u(1), b.u(1), b.u(1), b.u(1)
+    size, kind, form = packed >> 4, packed >> 2 & 3, packed & 3
+    body = b.take(min(size, b.left))
+    yield "lin", 1, data[: 8 + len(body)]
+    yield "lin.message_format", 2, revision
+    yield "lin.message_type", 2, LIN_TYPES[kind]
+    if kind == 3:
+        return
+    yield "lin.checksum_type", 2, LIN_CHECKSUMS[form]
+    yield "lin.pid", 2, pid
+    yield "lin.id", 2, pid & 63
+    yield "lin.parity", 2, pid >> 6
+    yield "lin.parity.valid", 2, lin_parity(pid & 63) == pid >> 6
+    yield "lin.length", 2, size
+    yield "lin.checksum", 2, checksum
+    if len(body) == size and form in (1, 2):
+        yield "lin.checksum.status", 2, "Good" if lin_checksum(body, pid if form == 2 else 0) == checksum else "Bad"
+    yield "lin.errors", 2, errors
+    yield "lin.data", 2, body
+
+
+@register("flexray")
+def flexray(data: bytes) -> Iterator[Node]:
+    """Channel and error flags, then the five bytes of the bus header and the payload."""
+    b = Bytes(data)
+    measured, errors = b.u(1), b.u(1)
+    yield "flexray", 1, data
+    yield "flexray.channel", 2, "B" if measured & 128 else "A"
+    for name, bit in (("fcrc_err", 4), ("hcrc_err", 3), ("fes_err", 2), ("cod_err", 1), ("tss_viol", 0)):
+        yield f"flexray.{name}", 2, bool(errors >> bit & 1)
+    head = b.u(5)
+    for name, bit in (("ppi", 38), ("nfi", 37), ("sfi", 36), ("stfi", 35)):
+        yield f"flexray.{name}", 2, bool(head >> bit & 1)
+    yield "flexray.frame_id", 2, head >> 24 & 0x7FF
+    words = head >> 17 & 0x7F
+    yield "flexray.payload_length", 2, 2 * words
+    yield "flexray.hcrc", 2, head >> 6 & 0x7FF
+    yield "flexray.cycle", 2, head & 63
+    yield "flexray.data", 2, b.take(min(2 * words, b.left))

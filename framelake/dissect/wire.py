@@ -20,15 +20,15 @@ TCP_PORTS = {53: "dns", 80: "http", 8080: "http", 443: "tls"}
 FIELDS: dict[str, tuple[T, str]] = {
     "frame.id": (T.U64, "Frame"), "frame.len": (T.U64, "Length"), "frame.time": (T.TIMESTAMP, "Time"), "frame.link_type": (T.U64, "Link type"),
     "eth.dst": (T.MAC, "Destination"), "eth.src": (T.MAC, "Source"), "eth.type": (T.U64, "Type"), "eth.len": (T.U64, "Length"),
-    "vlan.priority": (T.U64, "Priority"), "vlan.dei": (T.BOOL, "Drop eligible"), "vlan.id": (T.U64, "Id"),
+    "vlan.priority": (T.U64, "Priority"), "vlan.dei": (T.BOOL, "Drop eligible"), "vlan.id": (T.U64, "Id"), "vlan.etype": (T.U64, "Type"),
     "arp.opcode": (T.U64, "Operation"), "arp.src.hw_mac": (T.MAC, "Sender MAC"), "arp.src.proto_ipv4": (T.IPV4, "Sender IP"), "arp.dst.hw_mac": (T.MAC, "Target MAC"), "arp.dst.proto_ipv4": (T.IPV4, "Target IP"), "arp.isgratuitous": (T.BOOL, "Gratuitous"), "arp.isprobe": (T.BOOL, "Probe"),
-    "ip.version": (T.U64, "Version"), "ip.hdr_len": (T.U64, "Header length"), "ip.len": (T.U64, "Total length"), "ip.id": (T.U64, "Identification"), "ip.flags.df": (T.BOOL, "Don't fragment"), "ip.flags.mf": (T.BOOL, "More fragments"), "ip.frag_offset": (T.U64, "Fragment offset"), "ip.ttl": (T.U64, "Time to live"), "ip.proto": (T.U64, "Protocol"), "ip.checksum": (T.U64, "Checksum"), "ip.checksum.ok": (T.BOOL, "Checksum good"), "ip.src": (T.IPV4, "Source"), "ip.dst": (T.IPV4, "Destination"),
+    "ip.version": (T.U64, "Version"), "ip.hdr_len": (T.U64, "Header length"), "ip.dscp": (T.U64, "DSCP"), "ip.ecn": (T.U64, "ECN"), "ip.flags": (T.U64, "Flags"), "ip.flags.rb": (T.BOOL, "Reserved bit"), "ip.len": (T.U64, "Total length"), "ip.id": (T.U64, "Identification"), "ip.flags.df": (T.BOOL, "Don't fragment"), "ip.flags.mf": (T.BOOL, "More fragments"), "ip.frag_offset": (T.U64, "Fragment offset"), "ip.ttl": (T.U64, "Time to live"), "ip.proto": (T.U64, "Protocol"), "ip.checksum": (T.U64, "Checksum"), "ip.checksum.status": (T.STRING, "Checksum status"), "ip.src": (T.IPV4, "Source"), "ip.dst": (T.IPV4, "Destination"),
     "ipv6.tclass": (T.U64, "Traffic class"), "ipv6.flow": (T.U64, "Flow label"), "ipv6.plen": (T.U64, "Payload length"), "ipv6.nxt": (T.U64, "Next header"), "ipv6.hlim": (T.U64, "Hop limit"), "ipv6.src": (T.IPV6, "Source"), "ipv6.dst": (T.IPV6, "Destination"),
-    "icmp.type": (T.U64, "Type"), "icmp.code": (T.U64, "Code"), "icmp.checksum": (T.U64, "Checksum"), "icmpv6.type": (T.U64, "Type"), "icmpv6.code": (T.U64, "Code"),
+    "icmp.type": (T.U64, "Type"), "icmp.code": (T.U64, "Code"), "icmp.checksum": (T.U64, "Checksum"), "icmp.ident": (T.U64, "Identifier"), "icmp.seq": (T.U64, "Sequence number"), "icmpv6.type": (T.U64, "Type"), "icmpv6.code": (T.U64, "Code"),
     "udp.srcport": (T.U64, "Source port"), "udp.dstport": (T.U64, "Destination port"), "udp.length": (T.U64, "Length"), "udp.checksum": (T.U64, "Checksum"), "udp.payload": (T.BYTES, "Payload"),
     "tcp.srcport": (T.U64, "Source port"), "tcp.dstport": (T.U64, "Destination port"), "tcp.seq": (T.U64, "Sequence number"), "tcp.ack": (T.U64, "Acknowledgment number"), "tcp.hdr_len": (T.U64, "Header length"),
-    **{f"tcp.flags.{n}": (T.BOOL, n.upper()) for n in ("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr")},
-    "tcp.window": (T.U64, "Window"), "tcp.checksum": (T.U64, "Checksum"), "tcp.payload": (T.BYTES, "Payload"),
+    **{f"tcp.flags.{n}": (T.BOOL, n.upper()) for n in ("fin", "syn", "reset", "push", "ack", "urg", "ece", "cwr")},
+    "tcp.flags": (T.U64, "Flags"), "tcp.len": (T.U64, "Segment length"), "tcp.window_size_value": (T.U64, "Window"), "tcp.checksum": (T.U64, "Checksum"), "tcp.payload": (T.BYTES, "Payload"),
     "data.data": (T.BYTES, "Data"), "data.len": (T.U64, "Length"),
 }
 
@@ -121,16 +121,16 @@ def dissect(frames: DataFrame, data: str = "data", frame_id: str = "frame_id", t
         "frame.id": _some(F.col(frame_id)), "frame.len": _some(F.octet_length(d).cast("bigint")), "frame.time": _some(F.col(timestamp)), "frame.link_type": F.array(F.lit(1).cast("bigint")),
         "eth.dst": on(eth, u(d, 0, 6)), "eth.src": on(eth, u(d, 6, 6)), "eth.type": on(F.col("__type") >= 0x600, F.col("__type")), "eth.len": on(F.col("__type") < 0x600, F.col("__type")),
         "vlan.priority": F.array_compact(F.array(*[F.shiftright(x, 13) for x in tci])), "vlan.dei": F.array_compact(F.array(*[_flag(x, 12) for x in tci])), "vlan.id": F.array_compact(F.array(*[x.bitwiseAND(F.lit(0xFFF)) for x in tci])),
-        "arp.opcode": on(arp, u(d, l3 + 6, 2)), "arp.src.hw_mac": on(arp, u(d, l3 + 8, 6)), "arp.src.proto_ipv4": on(arp, u(d, l3 + 14, 4)), "arp.dst.hw_mac": on(arp, u(d, l3 + 18, 6)), "arp.dst.proto_ipv4": on(arp, u(d, l3 + 24, 4)),
+        "vlan.etype": F.array_compact(F.array(*[F.when(F.col("__tags") > i, u(d, 16 + 4 * i, 2)) for i in range(TAGS)])), "arp.opcode": on(arp, u(d, l3 + 6, 2)), "arp.src.hw_mac": on(arp, u(d, l3 + 8, 6)), "arp.src.proto_ipv4": on(arp, u(d, l3 + 14, 4)), "arp.dst.hw_mac": on(arp, u(d, l3 + 18, 6)), "arp.dst.proto_ipv4": on(arp, u(d, l3 + 24, 4)),
         "arp.isgratuitous": on(arp, u(d, l3 + 14, 4) == u(d, l3 + 24, 4)), "arp.isprobe": on(arp, (u(d, l3 + 6, 2) == 1) & (u(d, l3 + 14, 4) == 0)),
-        "ip.version": on(ip, F.lit(4).cast("bigint")), "ip.hdr_len": on(ip, F.col("__hl")), "ip.len": on(ip, u(d, l3 + 2, 2)), "ip.id": on(ip, u(d, l3 + 4, 2)), "ip.flags.df": on(ip, _flag(F.col("__frag"), 14)), "ip.flags.mf": on(ip, _flag(F.col("__frag"), 13)), "ip.frag_offset": on(ip, F.col("__frag").bitwiseAND(F.lit(0x1FFF)) * 8),
-        "ip.ttl": on(ip, u(d, l3 + 8, 1)), "ip.proto": on(ip, u(d, l3 + 9, 1)), "ip.checksum": on(ip, u(d, l3 + 10, 2)), "ip.checksum.ok": on(ip, _header_sum(d, l3) == 65535), "ip.src": on(ip, u(d, l3 + 12, 4)), "ip.dst": on(ip, u(d, l3 + 16, 4)),
+        "ip.version": on(ip, F.lit(4).cast("bigint")), "ip.hdr_len": on(ip, F.col("__hl")), "ip.dscp": on(ip, F.shiftright(u(d, l3 + 1, 1), 2)), "ip.ecn": on(ip, u(d, l3 + 1, 1).bitwiseAND(F.lit(3))), "ip.flags": on(ip, F.shiftright("__frag", 13)), "ip.flags.rb": on(ip, _flag(F.col("__frag"), 15)), "ip.len": on(ip, u(d, l3 + 2, 2)), "ip.id": on(ip, u(d, l3 + 4, 2)), "ip.flags.df": on(ip, _flag(F.col("__frag"), 14)), "ip.flags.mf": on(ip, _flag(F.col("__frag"), 13)), "ip.frag_offset": on(ip, F.col("__frag").bitwiseAND(F.lit(0x1FFF)) * 8),
+        "ip.ttl": on(ip, u(d, l3 + 8, 1)), "ip.proto": on(ip, u(d, l3 + 9, 1)), "ip.checksum": on(ip, u(d, l3 + 10, 2)), "ip.checksum.status": on(ip, F.when(_header_sum(d, l3) == 65535, "Good").otherwise("Bad")), "ip.src": on(ip, u(d, l3 + 12, 4)), "ip.dst": on(ip, u(d, l3 + 16, 4)),
         "ipv6.tclass": on(v6, F.shiftright(u(d, l3, 2), 4).bitwiseAND(F.lit(255))), "ipv6.flow": on(v6, u(d, l3, 4).bitwiseAND(F.lit(0xFFFFF))), "ipv6.plen": on(v6, u(d, l3 + 4, 2)), "ipv6.nxt": on(v6, u(d, l3 + 6, 1)), "ipv6.hlim": on(v6, u(d, l3 + 7, 1)), "ipv6.src": on(v6, W.raw(d, l3 + 8, l3 + 24)), "ipv6.dst": on(v6, W.raw(d, l3 + 24, l3 + 40)),
-        "icmp.type": on(icmp, u(d, at, 1)), "icmp.code": on(icmp, u(d, at + 1, 1)), "icmp.checksum": on(icmp, u(d, at + 2, 2)), "icmpv6.type": on(icmpv6, u(d, at, 1)), "icmpv6.code": on(icmpv6, u(d, at + 1, 1)),
+        "icmp.type": on(icmp, u(d, at, 1)), "icmp.code": on(icmp, u(d, at + 1, 1)), "icmp.checksum": on(icmp, u(d, at + 2, 2)), "icmp.ident": on(icmp & u(d, at, 1).isin(0, 8), u(d, at + 4, 2)), "icmp.seq": on(icmp & u(d, at, 1).isin(0, 8), u(d, at + 6, 2)), "icmpv6.type": on(icmpv6, u(d, at, 1)), "icmpv6.code": on(icmpv6, u(d, at + 1, 1)),
         "udp.srcport": on(udp, u(d, at, 2)), "udp.dstport": on(udp, u(d, at + 2, 2)), "udp.length": on(udp, u(d, at + 4, 2)), "udp.checksum": on(udp, u(d, at + 6, 2)), "udp.payload": on(udp, F.col("__payload")),
         "tcp.srcport": on(tcp, u(d, at, 2)), "tcp.dstport": on(tcp, u(d, at + 2, 2)), "tcp.seq": on(tcp, u(d, at + 4, 4)), "tcp.ack": on(tcp, u(d, at + 8, 4)), "tcp.hdr_len": on(tcp, F.col("__th").cast("bigint")),
-        **{f"tcp.flags.{n}": on(tcp, _flag(flags, i)) for i, n in enumerate(("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr"))},
-        "tcp.window": on(tcp, u(d, at + 14, 2)), "tcp.checksum": on(tcp, u(d, at + 16, 2)), "tcp.payload": on(tcp & (F.octet_length("__payload") > 0), F.col("__payload")),
+        **{f"tcp.flags.{n}": on(tcp, _flag(flags, i)) for i, n in enumerate(("fin", "syn", "reset", "push", "ack", "urg", "ece", "cwr"))},
+        "tcp.flags": on(tcp, u(d, at + 12, 2).bitwiseAND(F.lit(0xFFF))), "tcp.len": on(tcp, F.octet_length("__payload").cast("bigint")), "tcp.window_size_value": on(tcp, u(d, at + 14, 2)), "tcp.checksum": on(tcp, u(d, at + 16, 2)), "tcp.payload": on(tcp & (F.octet_length("__payload") > 0), F.col("__payload")),
     }
     plain = F.col("app").isNull() & (F.octet_length("__payload") > 0)
     names = F.array_compact(F.array(F.lit("frame"), F.when(eth, F.lit("eth")), *[F.when(F.col("__tags") > i, F.lit("vlan")) for i in range(TAGS)], F.when(arp, F.lit("arp")), F.when(ip, F.lit("ip")), F.when(v6, F.lit("ipv6")), F.when(icmp, F.lit("icmp")), F.when(icmpv6, F.lit("icmpv6")), F.when(udp, F.lit("udp")), F.when(tcp, F.lit("tcp")), F.col("app"), F.when(plain, F.lit("data"))))

@@ -97,8 +97,8 @@ def tcp_analysis(packets: DataFrame) -> DataFrame:
     """(packet_id, stream_key, analysis, rtt_ns, bytes_in_flight, dup_acks) of the TCP packets of a dissected frame."""
     one = lambda name: F.try_element_at(F.col(f"`{name}`"), F.lit(-1))  # noqa: E731  the innermost layer
     src, dst = F.struct(F.coalesce(F.hex(one("ip.src")), F.hex(one("ipv6.src"))).alias("a"), one("tcp.srcport").alias("p")), F.struct(F.coalesce(F.hex(one("ip.dst")), F.hex(one("ipv6.dst"))).alias("a"), one("tcp.dstport").alias("p"))
-    flags = sum((F.when(one(f"tcp.flags.{n}"), 1 << i).otherwise(0) for i, n in enumerate(("fin", "syn", "rst", "psh", "ack"))), F.lit(0))
-    rows = packets.filter(F.size("`tcp.seq`") > 0).select("packet_id", "timestamp_ns", src.alias("s"), dst.alias("d"), one("tcp.seq").alias("seq"), one("tcp.ack").alias("ack"), F.coalesce(F.octet_length(one("tcp.payload")), F.lit(0)).alias("n"), flags.alias("flags"), one("tcp.window").alias("window"))
+    flags = sum((F.when(one(f"tcp.flags.{n}"), 1 << i).otherwise(0) for i, n in enumerate(("fin", "syn", "reset", "push", "ack"))), F.lit(0))
+    rows = packets.filter(F.size("`tcp.seq`") > 0).select("packet_id", "timestamp_ns", src.alias("s"), dst.alias("d"), one("tcp.seq").alias("seq"), one("tcp.ack").alias("ack"), F.coalesce(F.octet_length(one("tcp.payload")), F.lit(0)).alias("n"), flags.alias("flags"), one("tcp.window_size_value").alias("window"))
     end = lambda c: F.concat_ws(":", c["a"], c["p"].cast("string"))
     low = F.col("s") <= F.col("d")
     keyed = rows.select(F.when(low, F.concat_ws("-", end(F.col("s")), end(F.col("d")))).otherwise(F.concat_ws("-", end(F.col("d")), end(F.col("s")))).alias("key"), "packet_id", "timestamp_ns", F.when(low, 0).otherwise(1).alias("side"), "seq", "ack", "n", "flags", "window")

@@ -321,20 +321,20 @@ def _firsts(df: DataFrame, **columns: str) -> DataFrame:
 
 
 query("wire_eth", "select event_id as packet_id, 2199023255553 as dst, 2199023255552 + user_id as src, 2048::bigint as type from events")(lambda s, d: _firsts(_wire(s, d), dst="eth.dst", src="eth.src", type="eth.type"))
-query("wire_ip", f"select event_id as packet_id, 167772160 + user_id as src, 3232235521 as dst, 64 - event_id % 8 as ttl, (case event_type when 'purchase' then 6 else 17 end)::bigint as proto, event_id % 65536 as ident, true as checksum_ok, ((case event_type when 'purchase' then 40 else 28 end) + octet_length(props::blob))::bigint as len from events")(
-    lambda s, d: _firsts(_wire(s, d), src="ip.src", dst="ip.dst", ttl="ip.ttl", proto="ip.proto", ident="ip.id", checksum_ok="ip.checksum.ok", len="ip.len")
+query("wire_ip", f"select event_id as packet_id, 167772160 + user_id as src, 3232235521 as dst, 64 - event_id % 8 as ttl, (case event_type when 'purchase' then 6 else 17 end)::bigint as proto, event_id % 65536 as ident, 'Good' as checksum, ((case event_type when 'purchase' then 40 else 28 end) + octet_length(props::blob))::bigint as len from events")(
+    lambda s, d: _firsts(_wire(s, d), src="ip.src", dst="ip.dst", ttl="ip.ttl", proto="ip.proto", ident="ip.id", checksum="ip.checksum.status", len="ip.len")
 )
 query("wire_udp", f"select event_id as packet_id, 1024 + user_id % 50000 as srcport, ({_PORT})::bigint as dstport, (8 + octet_length(props::blob))::bigint as length, props as payload from events where event_type <> 'purchase'")(
     lambda s, d: _firsts(_wire(s, d), srcport="udp.srcport", dstport="udp.dstport", length="udp.length", payload="udp.payload").filter("srcport is not null").withColumn("payload", F.col("payload").cast("string"))
 )
 query("wire_tcp", f"select event_id as packet_id, 1024 + user_id % 50000 as srcport, 443::bigint as dstport, event_id * 100 as seq, true as psh, false as syn, props as payload from events where event_type = 'purchase'")(
-    lambda s, d: _firsts(_wire(s, d), srcport="tcp.srcport", dstport="tcp.dstport", seq="tcp.seq", psh="tcp.flags.psh", syn="tcp.flags.syn", payload="tcp.payload").filter("srcport is not null").withColumn("payload", F.col("payload").cast("string"))
+    lambda s, d: _firsts(_wire(s, d), srcport="tcp.srcport", dstport="tcp.dstport", seq="tcp.seq", psh="tcp.flags.push", syn="tcp.flags.syn", payload="tcp.payload").filter("srcport is not null").withColumn("payload", F.col("payload").cast("string"))
 )
 query("wire_vlan_qinq", "select event_id as packet_id, 0 as occurrence, user_id % 4095 as value from events where event_id % 10 = 0 union all select event_id, 1, event_id % 4095 from events where event_id % 30 = 0")(lambda s, d: projection.field_table(_wire(s, d), wire.layout(), "vlan.id"))
 query("wire_dispatch", "select event_id as packet_id, list_aggregate(list_concat(['frame', 'eth'], case when event_id % 30 = 0 then ['vlan', 'vlan'] when event_id % 10 = 0 then ['vlan'] else [] end, ['ip', case event_type when 'purchase' then 'tcp' else 'udp' end, case event_type when 'click' then 'dns' when 'purchase' then 'tls' else 'data' end]), 'string_agg', '/') as stack from events where octet_length(props::blob) > 0")(
     lambda s, d: _wire(s, d).filter(F.octet_length("payload") > 0).select("packet_id", F.array_join("protocols", "/").alias("stack"))
 )
-query("wire_checksum", "select event_id as packet_id, true as ok from events")(lambda s, d: _firsts(_wire(s, d), ok="ip.checksum.ok"))
+query("wire_checksum", "select event_id as packet_id, 'Good' as status from events")(lambda s, d: _firsts(_wire(s, d), status="ip.checksum.status"))
 query("wire_filter", f"select event_id as packet_id from events where event_type <> 'purchase' and ({_PORT}) in (53, 5353) and 64 - event_id % 8 < 62")(lambda s, d: apply_filter(_wire(s, d), "udp.port in {53, 5353} && ip.ttl < 62", wire.layout()).select("packet_id"))
 query("flt_slice", "select event_id as packet_id from events where user_id % 256 = 7")(lambda s, d: apply_filter(_wire(s, d), "eth.src[0:3] == 02:00:00 && eth.src[4:6] in {00:07, 01:07, 02:07, 03:07} && len(eth.src) == 6", wire.layout()).select("packet_id"))
 query("flt_mac_slice_never_equal", "select event_id as packet_id from events where false")(lambda s, d: apply_filter(_wire(s, d), "eth.dst[0:6] == 02:00:00:00:00:01", wire.layout()).select("packet_id"))

@@ -49,14 +49,14 @@ def test_layers(spark):
     assert got[0]["protocols"] == ["frame", "eth", "ip", "udp", "data"]
     assert (got[0]["udp.srcport"], got[0]["udp.dstport"], got[0]["udp.length"], bytes(got[0]["udp.payload"][0])) == ([1234], [5000], [12], b"\xde\xad\xbe\xef")
     assert (got[0]["eth.dst"], got[0]["eth.src"], got[0]["eth.type"]) == ([0x001122334455], [0x66778899AABB], [0x800])
-    assert (got[0]["ip.src"], got[0]["ip.ttl"], got[0]["ip.checksum.ok"], got[0]["ip.len"]) == ([0x0A000001], [64], [True], [32])
-    assert got[1]["vlan.id"] == [100, 10] and got[1]["vlan.priority"] == [0, 1] and got[1]["udp.dstport"] == [5000]
+    assert (got[0]["ip.src"], got[0]["ip.ttl"], got[0]["ip.checksum.status"], got[0]["ip.len"]) == ([0x0A000001], [64], ["Good"], [32])
+    assert got[1]["vlan.id"] == [100, 10] and got[1]["vlan.priority"] == [0, 1] and got[1]["vlan.etype"] == [0x8100, 0x800] and got[1]["udp.dstport"] == [5000]
     assert got[2]["ipv6.hlim"] == [33] and got[2]["ipv6.flow"] == [9] and got[2]["udp.srcport"] == [1234] and got[2]["ip.src"] == []
     assert got[3]["arp.opcode"] == [1] and got[3]["arp.isgratuitous"] == [True] and got[3]["arp.isprobe"] == [False]
     assert got[4]["ip.flags.mf"] == [True] and got[4]["udp.srcport"] == [] and got[4]["protocols"] == ["frame", "eth", "ip"]
     assert got[5]["errors"] == ["ip: too short or invalid"] and got[5]["ip.src"] == []
     assert got[6]["errors"] == ["eth: too short"] and got[6]["protocols"] == ["frame"]
-    assert got[7]["ip.hdr_len"] == [24] and got[7]["ip.checksum.ok"] == [True] and got[7]["udp.srcport"] == [1234]
+    assert got[7]["ip.hdr_len"] == [24] and got[7]["ip.checksum.status"] == ["Good"] and got[7]["udp.srcport"] == [1234]
     assert got[8]["eth.len"] == [32] and got[8]["eth.type"] == []
 
 
@@ -115,20 +115,20 @@ def test_other_layers():
     assert ("http.host", "a.b") in names(None, b"GET /x HTTP/1.1\r\nHost: a.b\r\n\r\n")
     chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
     assert ("http.payload.decoded", b"abc") in names(None, chunked) and ("http.response.code", 200) in names(None, chunked)
-    assert ("json.string", "y") in names("json", b'{"x": ["y", 1, null]}') and names("json", b"{")[-1][0] == "packet.error"
-    assert ("someip.method_id", 2) in names("someip", struct.pack(">HHIHHBBBB", 1, 2, 10, 3, 4, 1, 1, 0, 0) + b"ab")
+    assert ("json.value.string", "y") in names("json", b'{"x": ["y", 1, null]}') and names("json", b"{")[-1][0] == "packet.error"
+    assert ("someip.methodid", 2) in names("someip", struct.pack(">HHIHHBBBB", 1, 2, 10, 3, 4, 1, 1, 0, 0) + b"ab")
     assert ("can.id", 0x123) in names("can", struct.pack(">IB3x", 0x123, 2) + b"ab")
     assert ("websocket.payload", b"Hello") in names("websocket", bytes.fromhex("818537fa213d7f9f4d5158"))
     hello = b"\x03\x03" + bytes(32) + b"\0" + b"\0\2\x13\x01" + b"\1\0" + b"\0\x0f" + b"\0\0\0\x0b" + b"\0\x09\0\0\6server"
     record = b"\x16\3\1" + struct.pack(">H", len(hello) + 4) + b"\1" + len(hello).to_bytes(3, "big") + hello
-    assert ("tls.extension.server_name", "server") in names(None, record) and ("tls.handshake.ciphersuite", 0x1301) in names(None, record)
+    assert ("tls.handshake.extensions.server_name", "server") in names(None, record) and ("tls.handshake.ciphersuite", 0x1301) in names(None, record)
 
 
 def test_app_rows(spark):
     df = spark.createDataFrame([(1, "json", b'{"a": 1}'), (2, None, b"\0\1"), (3, "json", None)], "packet_id long, app string, payload binary")
     rows = app.dissect(df).collect()
-    assert {r["packet_id"] for r in rows} == {1} and [r["i64"] for r in rows if r["name"] == "json.integer"] == [1]
-    assert {r["name"] for r in app.dissect(df, ["json.member.name"]).collect()} == {"json.member.name"}
+    assert {r["packet_id"] for r in rows} == {1} and [r["i64"] for r in rows if r["name"] == "json.value.number"] == [1]
+    assert {r["name"] for r in app.dissect(df, ["json.key"]).collect()} == {"json.key"}
 
 
 def test_tcp_analysis():
@@ -155,3 +155,29 @@ def test_tcp_rows(spark):
     rows = {r["packet_id"]: r for r in tcp_analysis(wire.dissect(df)).collect()}
     assert len(rows) == 4 and len({r["stream_key"] for r in rows.values()}) == 2
     assert rows[2]["analysis"] == "retransmission" and rows[1]["analysis"] == ""
+
+
+def test_links_and_buses():
+    assert ("sll.etype", 0x800) in names("sll", struct.pack(">HHH", 0, 1, 6) + bytes(range(8)) + b"\x08\x00") and ("sll.src.eth", 0x000102030405) in names("sll", struct.pack(">HHH", 0, 1, 6) + bytes(range(8)) + b"\x08\x00")
+    assert ("sll2.if_index", 7) in names("sll2", struct.pack(">HHIHBB", 0x800, 0, 7, 1, 0, 6) + bytes(8))
+    assert ("llc.type", 0x800) in names("llc", b"\xaa\xaa\x03\0\0\0\x08\x00") and ("llc.control", 0x0102) in names("llc", b"\x42\x42\x01\x02")
+    pid = 0x10 | app.lin_parity(0x10) << 6
+    frame = bytes([1, 0, 0, 0, 2 << 4 | 2, pid, app.lin_checksum(b"ab", pid), 0]) + b"ab"
+    got = names("lin", frame)
+    assert ("lin.parity.valid", True) in got and ("lin.checksum.status", "Good") in got and ("lin.checksum_type", "Enhanced") in got
+    assert ("lin.checksum.status", "Bad") in names("lin", frame[:-1] + b"x") and names("lin", b"\1")[-1][0] == "packet.error"
+    head = (1 << 35 | 5 << 24 | 1 << 17 | 9 << 6 | 3).to_bytes(5, "big")
+    got = names("flexray", b"\x80\x00" + head + b"xy")
+    assert {("flexray.channel", "B"), ("flexray.frame_id", 5), ("flexray.cycle", 3), ("flexray.data", b"xy"), ("flexray.stfi", True)} <= set(got)
+
+
+def test_signal_messages(spark):
+    from framelake.functions import signals
+
+    text = '[{"id": 1, "name": "M", "signals": [{"name": "mode", "start": 0, "length": 8, "selector": true, "names": {"1": "on"}}, {"name": "a", "start": 8, "length": 8, "group": 1, "factor": 0.5, "offset": -1}, {"name": "b", "start": 15, "length": 8, "big_endian": true, "group": 2}]}]'
+    df = spark.createDataFrame([(1, b"\x01\x08"), (1, b"\x02\x08"), (1, b"\x01"), (9, b"\x01\x08")], "id long, payload binary")
+    rows = signals.decode(df, signals.load(text)).collect()
+    assert rows[0]["signals"] == {"mode": 1.0, "a": 3.0} and rows[0]["shown"] == {"mode": "on"}
+    assert rows[1]["signals"] == {"mode": 2.0, "b": 8.0} and rows[2]["signals"] == {"mode": 1.0} and rows[3]["signals"] is None and rows[3]["message"] is None
+    with pytest.raises(ValueError, match="twice"):
+        signals.Message(1, "x", (signals.Signal("a", 0, 1), signals.Signal("a", 1, 1)))
