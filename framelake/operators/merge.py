@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 1 << 18
+#: More sources than this are refused.
+MAX_SOURCES = 1_000
 
 
 def round_robin(df: DataFrame, source: str, order: str, position: str | None = None) -> DataFrame:
@@ -13,8 +15,9 @@ def round_robin(df: DataFrame, source: str, order: str, position: str | None = N
 
     The place of a row needs its number within its source and, for each source, only the number of
     rows: with n rows before it in its own source, it has min(n + 1, size) of each source before it in
-    position, and min(n, size) of the others. Sources are few and their sizes meet rows in a broadcast
-    of bounded size; numbers within a source come from bucket counts, so that no task sorts a source.
+    position, and min(n, size) of the others. Sources are few (MAX_SOURCES at most) and their sizes
+    are constants of the plan; numbers within a source come from bucket counts, so that no task sorts
+    a source.
     """
     position = position or source
     rows = df.withColumn("__b", F.floor(F.col(order) / BUCKET))
@@ -23,9 +26,14 @@ def round_robin(df: DataFrame, source: str, order: str, position: str | None = N
     counts = counts.select(F.col(source).alias("__s"), F.col("__b").alias("__bb"), before.alias("__before"))
     inner = F.row_number().over(Window.partitionBy(source, "__b").orderBy(order)) - 1
     numbered = rows.withColumn("__inner", inner).join(counts, (F.col(source) == F.col("__s")) & (F.col("__b") == F.col("__bb"))).withColumn("__n", F.col("__before") + F.col("__inner"))
-    sizes = df.groupBy(F.col(position).alias("p")).agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("__sizes"))
-    place = F.aggregate("__sizes", F.lit(0).cast("bigint"), lambda t, s: t + F.least(s["n"], F.col("__n") + F.when(s["p"] < F.col(position), 1).otherwise(0)))
-    return numbered.join(F.broadcast(sizes)).withColumn("packet_id", place).drop("__b", "__s", "__bb", "__before", "__inner", "__n", "__sizes")
+    sizes = df.groupBy(F.col(position).alias("p")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    if not sizes:
+        return df.withColumn("packet_id", F.lit(None).cast("bigint"))
+    each = F.array(*[F.struct(F.lit(r["p"]).alias("p"), F.lit(r["n"]).cast("bigint").alias("n")) for r in sizes])
+    place = F.aggregate(each, F.lit(0).cast("bigint"), lambda t, s: t + F.least(s["n"], F.col("__n") + F.when(s["p"] < F.col(position), 1).otherwise(0)))
+    return numbered.withColumn("packet_id", place).drop("__b", "__s", "__bb", "__before", "__inner", "__n")
 
 
 def parts(df: DataFrame, size: int, order: str = "packet_id") -> DataFrame:
