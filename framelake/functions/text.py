@@ -55,11 +55,14 @@ def uuid(v: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def iso_ns(v: Column) -> Column:
-    """UTC, nine digits. Needs the session's time zone to be UTC."""
+    """UTC, nine digits, whatever the session's time zone."""
     nanos = F.pmod(v, F.lit(1_000_000_000))
-    seconds = ((v - nanos) / F.lit(1_000_000_000))
-    return F.concat(F.date_format(F.timestamp_seconds(seconds.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(nanos.cast("string"), 9, "0"), F.lit("Z"))
+    seconds = F.floor((v - nanos) / F.lit(1_000_000_000)).cast("bigint")
+    return F.concat(F.date_format(F.timestamp_add("SECOND", seconds, F.expr(EPOCH)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(nanos.cast("string"), 9, "0"), F.lit("Z"))
 
 
 def formula_guard(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.catalog import Catalog
 from framelake.functions.stage import staged
+from framelake.functions.text import EPOCH
 from framelake.plans.compiler import Layout
 from framelake.types import NODE_TYPES, FieldType
 
@@ -94,7 +95,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             node("line.qty", at + 1, at, 3, at + 1, f64=x["l_quantity"]),
             node("line.price", at + 2, at, 3, at + 2, f64=x["l_extendedprice"]),
             node("line.flag", at + 3, at, 3, at + 3, str=x["l_returnflag"]),
-            node("line.shipdate", at + 4, at, 3, at + 4, i64=F.unix_micros(x["l_shipdate"].cast("timestamp")) * 1000),
+            node("line.shipdate", at + 4, at, 3, at + 4, i64=F.timestamp_diff("MICROSECOND", F.expr(EPOCH), x["l_shipdate"]) * 1000),
             node("line.returned", at + 5, at, 3, at + 5, bool=x["l_returnflag"] == "R"),
         )
 
@@ -108,7 +109,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("lines", lambda x: x["l_quantity"]).alias("line.qty"),
         F.transform("lines", lambda x: x["l_extendedprice"]).alias("line.price"),
         F.transform("lines", lambda x: x["l_returnflag"]).alias("line.flag"),
-        F.transform("lines", lambda x: F.unix_micros(x["l_shipdate"].cast("timestamp")) * 1000).alias("line.shipdate"),
+        F.transform("lines", lambda x: F.timestamp_diff("MICROSECOND", F.expr(EPOCH), x["l_shipdate"]) * 1000).alias("line.shipdate"),
         F.transform("lines", lambda x: x["l_returnflag"] == "R").alias("line.returned"),
         F.concat(head, F.flatten(F.transform("lines", of_line))).alias("nodes"),
     )
