@@ -87,8 +87,12 @@ def solve_tilts(hist: DataFrame, totals: list[int], rows: list[int], targets: li
 
 
 def _round_source(pdf: pd.DataFrame, lam: list[float], mean: list[float], cap: float) -> pd.DataFrame:
-    """Copies for each (size, b) class of one source, by carrying the error from long to short documents."""
-    pdf = pdf.sort_values(["size", "b"], ascending=[False, True])
+    """Copies for each size of one source, by carrying the error from long to short documents.
+
+    One row a distinct size: d of them need d * d / 2 words at least, so that a source of 10**13 words
+    has under five million.
+    """
+    pdf = pdf.sort_values("size", ascending=False)
     want = got = 0.0
     low, extra = [], []
     for sid, size, n in zip(pdf["sid"], pdf["size"], pdf["n"], strict=True):
@@ -105,7 +109,15 @@ def _round_source(pdf: pd.DataFrame, lam: list[float], mean: list[float], cap: f
         got += copies * size
         low.append(floor)
         extra.append(copies - n * floor)
-    return pdf.assign(low=low, extra=extra)[["sid", "size", "b", "low", "extra"]]
+    return pdf.assign(low=low, extra=extra)[["sid", "size", "n", "low", "extra"]]
+
+
+def _spread(parts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(sid, size, b, low, extra): the extra copies of a size dealt to its parts (sid, size, b, here) by their rows."""
+    upto = F.sum("here").over(Window.partitionBy("sid", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = parts.join(plan, ["sid", "size"]).withColumn("upto", upto)
+    share = lambda rows: F.expr(f"cast(extra as decimal(19, 0)) * cast({rows} as decimal(19, 0)) div n")
+    return dealt.select("sid", "size", "b", "low", (share("upto") - share("(upto - here)")).alias("extra"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -126,8 +138,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     lam = solve_tilts(named, words, rows, targets, cap)
     mean = [w / max(1, r) for w, r in zip(words, rows, strict=True)]
     keyed = sized.join(ids, sized["source"].eqNullSafe(ids["source"])).select("doc_id", sized["source"], "sid", "size", "source_size", "target", "h", F.pmod("h", F.lit(parts)).cast("int").alias("b"))
-    plan_type = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("b", T.IntegerType()), T.StructField("low", T.LongType()), T.StructField("extra", T.LongType())])
-    plan = keyed.groupBy("sid", "size", "b").agg(F.count("*").alias("n")).groupBy("sid").applyInPandas(lambda pdf: _round_source(pdf, lam, mean, cap), plan_type)
+    plan_type = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.LongType()), T.StructField("extra", T.LongType())])
+    rounded = named.groupBy("sid").applyInPandas(lambda pdf: _round_source(pdf, lam, mean, cap), plan_type)
+    plan = _spread(keyed.groupBy("sid", "size", "b").agg(F.count("*").alias("here")), rounded)
     rank = F.row_number().over(Window.partitionBy("sid", "size", "b").orderBy("h", "doc_id"))
     copies = (F.col("low") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("int")
     out = keyed.join(plan, ["sid", "size", "b"]).withColumn("copies", copies)
