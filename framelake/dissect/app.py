@@ -370,9 +370,15 @@ def someip(data: bytes) -> Iterator[Node]:
         if size < 8:
             raise Malformed("bad length")
         yield "someip", 1, data[start : start + 8 + size]
-        for name, value in (("serviceid", service), ("methodid", method), ("length", size), ("clientid", b.u(2)), ("sessionid", b.u(2)), ("protocol_version", b.u(1)), ("ifversion", b.u(1)), ("msgtype", b.u(1)), ("returncode", b.u(1))):
+        client, session, version, interface, kind, code = (b.u(n) for n in (2, 2, 1, 1, 1, 1))
+        for name, value in (("serviceid", service), ("methodid", method), ("length", size), ("clientid", client), ("sessionid", session), ("protocol_version", version), ("ifversion", interface), ("msgtype", kind), ("returncode", code)):
             yield f"someip.{name}", 2, value
-        yield "someip.payload", 2, b.take(size - 8)
+        body = b.take(size - 8)
+        yield "someip.payload", 2, body
+        if (service, method) == (0xFFFF, 0x8100):
+            yield from REGISTRY["someip_sd"](body)
+        elif kind & 0x20:
+            yield from REGISTRY["someip_tp"](body)
 
 
 @register("pdu_transport")
@@ -574,3 +580,6 @@ def flexray(data: bytes) -> Iterator[Node]:
     yield "flexray.hcrc", 2, head >> 6 & 0x7FF
     yield "flexray.cycle", 2, head & 63
     yield "flexray.data", 2, b.take(min(2 * words, b.left))
+
+
+from framelake.dissect import someip as _someip  # noqa: E402, F401  registers its layers here, on executors too

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -88,22 +89,86 @@ def text_lines(df: DataFrame, layout: Layout) -> DataFrame:
 # capture files
 
 
-def pcap_bytes(frames: Iterable[tuple[int, bytes]], link_type: int = 1) -> Iterator[bytes]:
+def pcap_bytes(frames: Iterable[tuple], link_type: int = 1) -> Iterator[bytes]:
     yield struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 262_144, link_type)
-    for time, data in frames:
+    for time, data, *_ in frames:
         yield struct.pack("<IIII", time // 10**9, time % 10**9, len(data), len(data)) + data
 
 
-def pcapng_bytes(frames: Iterable[tuple[int, bytes]], link_type: int = 1) -> Iterator[bytes]:
+def pcapng_bytes(frames: Iterable[tuple], link_type: int = 1) -> Iterator[bytes]:
     yield struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28)
     options = struct.pack("<HHB3xHH", 9, 1, 9, 0, 0)  # nanoseconds
     yield struct.pack("<IIHHI", 1, 20 + len(options), link_type, 0, 262_144) + options + struct.pack("<I", 20 + len(options))
-    for time, data in frames:
+    for time, data, *_ in frames:
         size = 32 + len(data) + -len(data) % 4
         yield struct.pack("<IIIIIII", 6, size, 0, time >> 32, time & 0xFFFFFFFF, len(data), len(data)) + data + b"\0" * (-len(data) % 4) + struct.pack("<I", size)
 
 
-WRITERS = {"pcap": pcap_bytes, "pcapng": pcapng_bytes}
+def _can_parts(data: bytes) -> tuple[int, bool, bool, int, bytes]:
+    """(id with its long mark, remote, FD, flags, bytes) of a SocketCAN frame."""
+    if len(data) < 8:
+        raise ValueError("not a SocketCAN frame")
+    word, size, flags = struct.unpack(">IBB", data[:6])
+    return word & 0x9FFFFFFF, bool(word & 0x40000000), bool(flags & 4) or size > 8, flags, data[8 : 8 + size]
+
+
+def asc_bytes(frames: Iterable[tuple], link_type: int = 227) -> Iterator[bytes]:
+    """Lines of CAN and CAN FD messages with absolute times; the third of a frame is its channel, else 1."""
+    if link_type != 227:
+        raise ValueError("ASC files hold SocketCAN frames (link type 227)")
+    yield b"date Thu Jan 1 12:00:00 am 1970\nbase hex  timestamps absolute\nno internal events logged\n"
+    for time, data, *more in frames:
+        ident, remote, fd, flags, value = _can_parts(data)
+        shown = f"{ident & 0x1FFFFFFF:X}" + ("x" if ident >> 31 else "")
+        stamp, channel, body = f"{time // 10**9}.{time % 10**9:09d}", more[0] if more else 1, value.hex(" ").upper()
+        if fd:
+            code = next(i for i, n in enumerate((0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64)) if n >= len(value))
+            line = f"{stamp} CANFD {channel} Rx {shown} {flags & 1} {flags >> 1 & 1} {code:x} {len(value)} {body}"
+        else:
+            line = f"{stamp} {channel} {shown} Rx r" + f" {len(value):x}" if remote else f"{stamp} {channel} {shown} Rx d {len(value):x} {body}"
+        yield line.rstrip().encode() + b"\n"
+
+
+def blf_bytes(frames: Iterable[tuple], link_type: int = 227, container: int = 1 << 17) -> Iterator[bytes]:
+    """CAN, CAN FD or Ethernet objects in packed containers; the totals of the header are left zero, as in a log that is still open."""
+    if link_type not in (1, 227):
+        raise ValueError("BLF files hold Ethernet (1) or SocketCAN frames (227)")
+    yield b"LOGG" + struct.pack("<I", 144) + bytes(136)
+
+    def one(time: int, data: bytes, channel: int) -> bytes:
+        if link_type == 1:
+            if len(data) < 14:
+                raise ValueError("not an Ethernet frame")
+            kind, tpid, tci, rest = 71, 0, 0, data[12:]
+            if rest[:2] in (b"\x81\x00", b"\x88\xa8") and len(rest) >= 6:
+                (tpid, tci), rest = struct.unpack(">HH", rest[:4]), rest[4:]
+            body = struct.pack("<6sH6sHHHHH8x", data[6:12], channel, data[:6], 0, int.from_bytes(rest[:2], "big"), tpid, tci, len(rest) - 2) + rest[2:]
+        else:
+            ident, remote, fd, flags, value = _can_parts(data)
+            if fd:
+                kind, bits = 101, 0x1000 | (flags & 1) << 13 | (flags & 2) << 13
+                body = struct.pack("<BBBBIIIIIIIHBBI", channel, 0, len(value), 0, ident, 0, bits, 0, 0, 0, 0, 0, 0, 0, 0) + value
+            else:
+                kind, body = 1, struct.pack("<HBBI8s", channel, 0x80 if remote else 0, len(value), ident, value)
+        size = 32 + len(body)
+        return b"LOBJ" + struct.pack("<HHIIIHHQ", 32, 1, size, kind, 2, 0, 0, time) + body + bytes(size % 4)
+
+    def pack(data: bytes) -> bytes:
+        packed = zlib.compress(data)
+        size = 32 + len(packed)
+        return b"LOBJ" + struct.pack("<HHIIH6xI4x", 16, 1, size, 10, 2, len(data)) + packed + bytes(size % 4)
+
+    held = bytearray()
+    for time, data, *more in frames:
+        held += one(time, data, more[0] if more else 1)
+        if len(held) >= container:
+            yield pack(bytes(held))
+            held.clear()
+    if held:
+        yield pack(bytes(held))
+
+
+WRITERS = {"pcap": pcap_bytes, "pcapng": pcapng_bytes, "asc": asc_bytes, "blf": blf_bytes}
 
 
 class _Written(WriterCommitMessage):
@@ -123,13 +188,14 @@ class _Writer(DataSourceWriter):
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        kind, link = self.options.get("format", "pcapng"), int(self.options.get("link_type", 1))
+        kind, link = self.options.get("format", "pcapng"), int(self.options.get("link_type", 227 if self.options.get("format") == "asc" else 1))
+        at_channel = self.names.index("interface_id") if "interface_id" in self.names else None
         at_time, at_data = self.names.index("timestamp_ns"), self.names.index("data")
         context = TaskContext.get()
         os.makedirs(self.options["path"], exist_ok=True)
         path = os.path.join(self.options["path"], f"_part-{context.partitionId():05d}-{context.taskAttemptId()}.{kind}")
         with open(path, "wb") as f:
-            for chunk in WRITERS[kind](((r[at_time], bytes(r[at_data])) for r in rows), link):
+            for chunk in WRITERS[kind](((r[at_time], bytes(r[at_data]), 1 if at_channel is None else r[at_channel]) for r in rows), link):
                 f.write(chunk)
         return _Written(path)
 
@@ -145,7 +211,7 @@ class _Writer(DataSourceWriter):
 
 
 class CaptureSink(DataSource):
-    """df.write.format("capture_file").option("format", "pcapng").save(path); columns timestamp_ns and data."""
+    """df.write.format("capture_file").option("format", "pcapng").save(path); columns timestamp_ns, data and, for channels, interface_id."""
 
     @classmethod
     def name(cls) -> str:

@@ -96,8 +96,13 @@ def _can(ident: int, data: bytes) -> bytes:
     return struct.pack(">IB3x", ident, len(data)) + data
 
 
+def can_fd(ident: int, data: bytes, brs: bool, esi: bool) -> bytes:
+    """A SocketCAN frame with the FD bit beside its length."""
+    return struct.pack(">IBB2x", ident, len(data), 4 | brs | esi << 1) + data
+
+
 def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
-    """CAN and Ethernet objects, in containers or plain. most: bytes that a container may unpack to."""
+    """CAN, CAN FD and Ethernet objects, in containers or plain. most: bytes that a container may unpack to."""
     head = _exactly(f, 8)
     if head is None:
         return
@@ -115,7 +120,7 @@ def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
             hsize, _, size, kind = struct.unpack("<HHII", data[at + 4 : at + 16])
             if at + size > len(data):
                 break
-            if hsize >= 32 and kind in (1, 86, 71):
+            if hsize >= 32 and kind in (1, 86, 100, 101, 71):
                 flags, _, _, stamp = struct.unpack("<IHHQ", data[at + 16 : at + 32])
                 time = stamp * 10_000 if flags == 1 else stamp
                 body = data[at + hsize : at + size]
@@ -123,6 +128,14 @@ def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
                     src, channel, dst, _, etype, tpid, tci, n = struct.unpack("<6sH6sHHHHH", body[:24])
                     tag = struct.pack(">HH", tpid, tci) if tpid else b""
                     out.append((time, LINK_ETHERNET, channel, dst + src + tag + struct.pack(">H", etype) + body[32 : 32 + n]))
+                elif kind == 101:
+                    channel, _, n, _, ident, _, bits = struct.unpack("<BBBBIII", body[:16])
+                    value = body[40 : 40 + n]
+                    out.append((time, LINK_SOCKETCAN, channel, can_fd(ident, value, bool(bits & 0x2000), bool(bits & 0x4000)) if bits & 0x1000 else _can(ident | (0x40000000 if bits & 0x10 else 0), value)))
+                elif kind == 100:
+                    channel, flags_, _, ident, _, _, bits, n = struct.unpack("<HBBIIBBB", body[:15])
+                    value = body[20 : 20 + n]
+                    out.append((time, LINK_SOCKETCAN, channel, can_fd(ident, value, bool(bits & 2), bool(bits & 4)) if bits & 1 else _can(ident | (0x40000000 if flags_ & 0x80 else 0), value)))
                 else:
                     channel, flags_, dlc, ident = struct.unpack("<HBBI", body[:8])
                     out.append((time, LINK_SOCKETCAN, channel, _can(ident | (0x40000000 if flags_ & 0x80 else 0), body[8 : 8 + min(dlc, 8)])))
@@ -147,8 +160,18 @@ def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
             yield from objects(h + body)[0]
 
 
+def _nanos(stamp: str) -> int:
+    whole, _, part = stamp.partition(".")
+    return int(whole) * 10**9 + int((part + "0" * 9)[:9])
+
+
+def _ident(shown: str, radix: int) -> int:
+    """An x at the end marks a long identifier."""
+    return int(shown.rstrip("xX"), radix) | (0x80000000 if shown[-1] in "xX" else 0)
+
+
 def asc(f: BinaryIO) -> Iterator[Frame]:
-    """Lines of CAN messages. Times are absolute, or since the line before."""
+    """Lines of CAN and CAN FD messages. Times are absolute, or since the line before."""
     relative, radix, now = False, 16, 0
     for line in io.TextIOWrapper(f, "utf-8", "replace"):
         words = line.split()
@@ -158,13 +181,20 @@ def asc(f: BinaryIO) -> Iterator[Frame]:
             radix = 16 if "hex" in line.lower() else 10
             relative = "relative" in line.lower()
             continue
+        if len(words) >= 9 and words[0][0].isdigit() and words[1].upper() == "CANFD" and words[2].isdigit():
+            # channel, direction, id, a name or none, two flags, the length's code, the length, bytes
+            rest = words[5:] if words[5] in ("0", "1") and words[6] in ("0", "1") else words[6:]
+            if len(rest) < 4 or not rest[3].isdigit():
+                continue
+            stamp = _nanos(words[0])
+            now = now + stamp if relative else stamp
+            yield now, LINK_SOCKETCAN, int(words[2]), can_fd(_ident(words[4], radix), bytes(int(w, radix) for w in rest[4 : 4 + int(rest[3])]), rest[0] == "1", rest[1] == "1")
+            continue
         if len(words) < 6 or not words[0][0].isdigit() or words[4].lower() not in ("d", "r") or not words[1].isdigit():
             continue
-        whole, _, part = words[0].partition(".")
-        stamp = int(whole) * 10**9 + int((part + "0" * 9)[:9])
+        stamp = _nanos(words[0])
         now = now + stamp if relative else stamp
-        ident = words[2]
-        number = int(ident.rstrip("xX"), radix) | (0x80000000 if ident[-1] in "xX" else 0)
+        number = _ident(words[2], radix)
         n = int(words[5], 16) if words[4].lower() == "d" else 0
         yield now, LINK_SOCKETCAN, int(words[1]), _can(number | (0x40000000 if words[4].lower() == "r" else 0), bytes(int(w, radix) for w in words[6 : 6 + n]))
 
