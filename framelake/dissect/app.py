@@ -258,6 +258,14 @@ def tls(data: bytes) -> Iterator[Node]:
             m = Bytes(h.take(h.u(3)))
             yield "tls.handshake", 3, None
             yield "tls.handshake.type", 4, what
+            yield "tls.handshake.length", 4, m.left
+            if what == 11 and version < 0x304 and m.left >= 3:
+                chain = Bytes(m.take(m.u(3)))
+                while chain.left:
+                    yield "tls.handshake.certificate", 4, None
+                    certificate = chain.take(chain.u(3))
+                    yield "tls.handshake.certificate.length", 5, len(certificate)
+                    yield "tls.handshake.certificate.data", 5, certificate
             if what not in (1, 2):
                 continue
             yield "tls.handshake.version", 4, m.u(2)
@@ -283,6 +291,22 @@ def tls(data: bytes) -> Iterator[Node]:
                     e.u(2)
                     e.u(1)
                     yield "tls.handshake.extensions.server_name", 5, e.take(e.u(2)).decode("latin-1")
+                elif code in (10, 13) and e.left:
+                    e.u(2)
+                    while e.left >= 2:
+                        yield f"tls.handshake.extensions.{'supported_group' if code == 10 else 'sig_hash_alg'}", 5, e.u(2)
+                elif code == 43:
+                    if what == 1:
+                        e.u(1)
+                    while e.left >= 2:
+                        yield "tls.handshake.extensions.supported_version", 5, e.u(2)
+                elif code == 51 and e.left > 2:
+                    if what == 1:
+                        e.u(2)
+                    while e.left >= 4:
+                        yield "tls.handshake.extensions.key_share.entry", 5, None
+                        yield "tls.handshake.extensions.key_share.group", 6, e.u(2)
+                        yield "tls.handshake.extensions.key_share.key_exchange", 6, e.take(e.u(2))
                 elif code == 16:
                     e.u(2)
                     while e.left:
@@ -348,6 +372,9 @@ def http2(data: bytes) -> Iterator[Node]:
         yield "http2.frame.type", 3, kind
         yield "http2.frame.flags", 3, flags
         yield "http2.frame.stream_id", 3, stream
+        names = ((0, "ack"),) if kind in (4, 6) else ((0, "end_stream"), (2, "end_headers"), (3, "padded"), (5, "priority"))
+        for bit, name in names if kind in (0, 1, 4, 5, 6, 9) else ():
+            yield f"http2.frame.flags.{name}", 4, bool(flags >> bit & 1)
         if kind == 4:
             for i in range(0, len(body) - 5, 6):
                 yield "http2.settings", 3, None
@@ -357,6 +384,13 @@ def http2(data: bytes) -> Iterator[Node]:
             yield "http2.window_update.increment", 3, int.from_bytes(body, "big") & 0x7FFFFFFF
         elif kind == 3 and size == 4:
             yield "http2.rst_stream.error_code", 3, int.from_bytes(body, "big")
+        elif kind == 6 and size == 8:
+            yield "http2.ping.opaque", 3, body
+        elif kind == 7 and size >= 8:
+            yield "http2.goaway.last_stream_id", 3, int.from_bytes(body[:4], "big") & 0x7FFFFFFF
+            yield "http2.goaway.error_code", 3, int.from_bytes(body[4:8], "big")
+            if size > 8:
+                yield "http2.goaway.debug_data", 3, body[8:]
         else:
             yield "http2.frame.payload", 3, body
 
@@ -582,4 +616,5 @@ def flexray(data: bytes) -> Iterator[Node]:
     yield "flexray.data", 2, b.take(min(2 * words, b.left))
 
 
-from framelake.dissect import someip as _someip  # noqa: E402, F401  registers its layers here, on executors too
+from framelake.dissect import options as _options  # noqa: E402, F401  these register their layers here, on executors too
+from framelake.dissect import someip as _someip  # noqa: E402, F401
