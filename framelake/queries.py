@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake import views
-from framelake.dissect import wire
+from framelake.dissect import app, hpack, options, someip, wire
 from framelake.functions import text as T
 from framelake.functions import wire as W
-from framelake.operators import merge, presence, projection, reassembly, series
+from framelake.operators import boundaries, merge, presence, projection, reassembly, series
 from framelake.plans.compiler import Layout, apply_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,5 +394,89 @@ query("json_members", f"select event_id as packet_id, {K} as k from events")(lam
 query("http_url", r"select page_id as packet_id, regexp_extract(url, '^[a-z]+://([^/?#]*)([^#]*)', 1) as host, regexp_extract(url, '^[a-z]+://([^/?#]*)([^#]*)', 2) as uri from pages")(lambda s, d: _firsts(views.pages(s, d), host="http.host", uri="http.uri"))
 
 
+# application layers: written from columns, read back
+
+
+def _written(spark: SparkSession, sf_dir: str, layer: str, *parts: Column) -> DataFrame:
+    return views.read(spark, sf_dir, "events").select(F.col("event_id").alias("packet_id"), F.lit(layer).alias("app"), F.concat(*parts).alias("payload"))
+
+
+def _sized(name: str, width: int) -> Column:
+    value = F.col(name).cast("binary")
+    return F.concat(W.be_bytes(F.octet_length(value), width), value)
+
+
+@query("app_dns", "select event_id as packet_id, event_type || '.example' as name from events")
+def app_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _written(spark, sf_dir, "dns", W.be_bytes(F.col("event_id") % 65536, 2), wire.hexed("01000001000000000000"), _sized("event_type", 1), wire.hexed("076578616d706c65" + "0000010001"))
+    return app.dissect(df, ["dns.qry.name"]).select("packet_id", F.col("str").alias("name"))
+
+
+@query("app_can", "select event_id as packet_id, user_id % 2048 as id, lower(printf('%08x', event_id)) as data from events")
+def app_can(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _written(spark, sf_dir, "can", W.be_bytes(F.col("user_id") % 2048, 4), wire.hexed("04000000"), W.be_bytes(F.col("event_id"), 4))
+    nodes = app.dissect(df, ["can.id", "can.data"])
+    return nodes.groupBy("packet_id").agg(F.max(F.when(F.col("name") == "can.id", F.col("i64"))).alias("id"), F.max(F.when(F.col("name") == "can.data", F.lower(F.hex("bin")))).alias("data"))
+
+
+@query("app_someip_payload", "select event_id as packet_id, event_id::varchar as id, event_type as type, case user_id % 3 when 0 then 'off' when 1 then 'on' else 'unknown' end as state from events")
+def app_someip_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"type": "struct", "members": [{"name": "id", "type": "uint32"}, {"name": "type", "type": "string", "length_bytes": 4}, {"name": "state", "type": "enum", "base": "uint8", "names": {"0": "off", "1": "on"}}]}
+    df = _written(spark, sf_dir, "someip", W.be_bytes(F.col("event_id"), 4), _sized("event_type", 4), W.be_bytes(F.col("user_id") % 3, 1))
+    read = someip.decode(df.withColumns({"serviceid": F.lit(1), "methodid": F.lit(2)}), {(1, 2): spec})
+    value = lambda name: F.filter("values", lambda v: v["name"] == name)[0]["text"]
+    return read.select("packet_id", value("value.id").alias("id"), value("value.type").alias("type"), value("value.state.name").alias("state"))
+
+
+@query("app_someip_sd", "select event_id as packet_id, user_id % 65536 as service, case when event_id % 2 = 0 then 'stop_offer' else 'offer' end as kind from events")
+def app_someip_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(wire.hexed("01000000"), W.be_bytes(F.col("user_id") % 65536, 2), wire.hexed("000101"), W.be_bytes(F.col("event_id") % 2 * 3, 3), wire.hexed("00000000"))
+    body = F.concat(wire.hexed("c0000000" + "00000010"), entry, wire.hexed("00000000"))
+    df = _written(spark, sf_dir, "someip", wire.hexed("ffff8100"), W.be_bytes(F.octet_length(body) + 8, 4), wire.hexed("0000000101010200"), body)
+    nodes = app.dissect(df, ["someip_sd.entry.serviceid", "someip_sd.entry.kind"])
+    return nodes.groupBy("packet_id").agg(F.max("i64").alias("service"), F.max("str").alias("kind"))
+
+
+@query("wire_tcp_options", "select event_id as packet_id, 500 + event_id % 900 as mss, event_id % 15 as shift from events")
+def wire_tcp_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.read(spark, sf_dir, "events").select("event_id")
+    listed = F.concat(wire.hexed("0204"), W.be_bytes(500 + F.col("event_id") % 900, 2), wire.hexed("0303"), W.be_bytes(F.col("event_id") % 15, 1), wire.hexed("01"))
+    segment = F.concat(wire.hexed("04d20050" + "00000000" * 2 + "7002ffff00000000"), listed)
+    address = F.lit(0x0A000001).cast("bigint")
+    packet = wire.ipv4(address, address, F.lit(6), segment)
+    frames = e.select(F.col("event_id").alias("frame_id"), F.lit(0).cast("bigint").alias("timestamp_ns"), wire.ethernet(F.lit(1), F.lit(2), F.lit(0x800), packet).alias("data"))
+    nodes = options.layers(frames, ["tcp.options.mss_val", "tcp.options.wscale.shift"])
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("i64")))
+    return nodes.groupBy("packet_id").agg(of("tcp.options.mss_val").alias("mss"), of("tcp.options.wscale.shift").alias("shift"))
+
+
+@query(
+    "http2_headers",
+    """with e as (select event_id, event_type, lag(event_type) over (partition by user_id order by event_id) as before from events)
+    select event_id as packet_id, 0 as position, 'x-type' as name, before as value from e where before is not null
+    union all select event_id, case when before is null then 0 else 1 end, 'x-type', event_type from e""",
+)
+def http2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block names its connection's last entry by its place in the table, and adds one."""
+    from pyspark.sql import Window
+
+    e = views.read(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    added = F.concat(wire.hexed("4006782d74797065"), _sized("event_type", 1))
+    body = F.when(F.col("n") > 1, F.concat(wire.hexed("be"), added)).otherwise(added)
+    frames = e.select("user_id", F.col("event_id").alias("packet_id"), F.col("event_id").alias("stream_id"), F.lit(1).alias("kind"), F.lit(4).alias("flags"), body.alias("body"))
+    return hpack.headers(frames, "user_id").filter("error is null").select("packet_id", "position", "name", "value")
+
+
+@query("http1_messages", "select conv_id as conn_id, row_number() over (partition by conv_id order by turn) - 1 as n, text as body from conversations")
+def http1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a request in two segments, cut inside its head."""
+    t = views.turns(spark, sf_dir)
+    head = F.concat(F.lit("POST / HTTP/1.1\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n")).cast("binary")
+    whole = F.concat(head, F.col("payload"))
+    cut = F.array(F.struct((F.col("seq") * 2).alias("seq"), W.raw(whole, 0, 20).alias("payload")), F.struct((F.col("seq") * 2 + 1).alias("seq"), W.raw(whole, 20).alias("payload")))
+    read = reassembly.messages(t.select("conn_id", F.explode(cut).alias("s")).select("conn_id", "s.*"), "conn_id", boundaries.http1)
+    return read.select("conn_id", "n", F.expr(r"substring(cast(data as string), instr(cast(data as string), '\r\n\r\n') + 4)").alias("body"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flt_and_or"](spark, sf_dir)
