@@ -94,6 +94,18 @@ def test_mix_cases(spark):
     check_mix(rows, same)
 
 
+def test_extra_copies_are_dealt_to_parts_whole(spark):
+    rng = random.Random(4)
+    parts = [(sid, size, b, rng.randint(1, 9)) for sid in (0, 1) for size in (1, 7) for b in range(6)]
+    rows = {k: sum(p[3] for p in parts if p[:2] == k) for k in {p[:2] for p in parts}}
+    extra = {k: rng.randint(0, n) for k, n in rows.items()} | {(0, 1): 0, (1, 7): rows[1, 7]}
+    plan = spark.createDataFrame([(*k, n, 1, extra[k]) for k, n in rows.items()], "sid int, size long, n long, low long, extra long")
+    got = mixing._spread(spark.createDataFrame(parts, "sid int, size long, b int, here long"), plan).collect()
+    here = {p[:3]: p[3] for p in parts}
+    assert len(got) == len(parts) and all(0 <= r["extra"] <= here[r["sid"], r["size"], r["b"]] and r["low"] == 1 for r in got)
+    assert all(sum(r["extra"] for r in got if (r["sid"], r["size"]) == k) == n for k, n in extra.items())
+
+
 def test_tilts_follow_the_exponential_form(spark):
     hist = spark.createDataFrame([(0, 10, 50), (0, 100, 20), (0, 1000, 3)], "sid int, size long, n long")
     total = 500 + 2000 + 3000
