@@ -7,8 +7,11 @@ it wasn't trained on its scores are calibrated: a temperature, and for each fami
 probability that keeps false alarms below a rate. A paragraph with less is `unknown`, as is one
 that doesn't hold enough of the n-grams of its family's nearest template.
 
-Paragraphs are lines, those of over WINDOW words in half-overlapping windows. Distinct paragraphs
-are scored once; n-grams meet the weights, whose number is bounded by the templates, in a
+Paragraphs are lines, those of over WINDOW words in half-overlapping windows. For statements that
+are wrapped over lines, half-overlapping windows also run over all words of a text, across its line
+ends; of these, what is confirmed counts, unless a line within confirms the same template. It has
+the line of its first anchor as paragraph and parts from -1 down, and unsure findings of its family
+in lines within it are left out as pieces of it. Distinct paragraphs are scored once; n-grams meet the weights, whose number is bounded by the templates, in a
 broadcast join. A paragraph without any anchor of a template (enough of its words that a match
 can't lack them all) can't be confirmed, and isn't scored.
 
@@ -23,7 +26,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import cut
@@ -153,17 +156,36 @@ def train(lines: list[str], training: Training = Training()) -> Model:
     return Model(classes, features, w / heat, b / heat, least, templates, sorted(anchors))
 
 
+def _windows(words: Column) -> Column:
+    """Half-overlapping windows; a run of WINDOW // 2 + 1 words is whole in one of them."""
+    n = F.size(words)
+    return F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)) + WINDOW // 2 - 1, F.lit(WINDOW // 2)), lambda i: F.slice(words, i + 1, WINDOW))
+
+
+def _across(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, paragraph, part, words, first, last): windows with an anchor that hold words of several lines, first to last."""
+    of_line = lambda line, i: F.transform(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(w.alias("w"), i.alias("line")))
+    words = texts.filter(F.instr("text", "\n") > 0).select("row", "doc_id", F.flatten(F.transform(F.split("text", "\n"), of_line)).alias("all"))
+    anchors = F.array(*[F.lit(a) for a in model.anchors])
+    each = words.select("row", "doc_id", F.posexplode(_windows(F.col("all"))).alias("n", "own"))
+    ends = each.select("row", "doc_id", (-1 - F.col("n")).alias("part"), "own", F.try_element_at("own", F.lit(1))["line"].alias("first"), F.try_element_at("own", F.lit(-1))["line"].alias("last")).filter("first < last")
+    held = F.filter("own", lambda x: F.array_contains(anchors, x["w"]))
+    return ends.withColumn("held", held).filter(F.size("held") > 0).select("row", "doc_id", F.col("held")[0]["line"].alias("paragraph"), "part", F.col("own.w").alias("words"), "first", "last")
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, paragraph, part, family, predicted, probability, template, held): paragraphs that a family claims.
 
     family is `unknown` where the claim isn't sure or not confirmed; held is the share of the template's n-grams.
     """
     anchor = r"(?i)\b(" + "|".join(model.anchors) + r")\b"
-    lines = docs.filter(F.col("text").rlike(anchor)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(anchor))
+    texts = docs.filter(F.col("text").rlike(anchor)).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    texts = cut(texts)  # with numbers that stay: rows may repeat
+    lines = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(anchor))
     words = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))
-    n = F.size("words")
-    windows = F.when(n <= WINDOW, F.array(F.col("words"))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)) + WINDOW // 2 - 1, F.lit(WINDOW // 2)), lambda i: F.slice("words", i + 1, WINDOW)))
-    parts = lines.select("doc_id", "paragraph", words.alias("words")).select("doc_id", "paragraph", F.posexplode(windows).alias("part", "words")).withColumn("key", F.array_join("words", " "))
+    windows = F.when(F.size("words") <= WINDOW, F.array(F.col("words"))).otherwise(_windows(F.col("words")))
+    parts = lines.select("row", "doc_id", "paragraph", words.alias("words")).select("row", "doc_id", "paragraph", F.posexplode(windows).alias("part", "words")).withColumns({"first": F.col("paragraph"), "last": F.col("paragraph")})
+    parts = parts.unionByName(_across(texts, model)).withColumn("key", F.array_join("words", " "))
     parts = cut(parts)  # paragraphs with an anchor: few, and costly to find twice
     each = parts.select("key", "words").dropDuplicates(["key"])
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.coalesce(F.try_element_at("words", i + 1), F.lit(""))))
@@ -186,7 +208,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("cls") + 1)
     sure = (F.col("p") >= F.element_at(F.array(*[F.lit(x) for x in model.least]), F.col("cls") + 1)) & (F.col("near.held") >= CONFIRM)
     verdicts = scored.select("key", F.when(sure, name).otherwise(F.lit(UNKNOWN)).alias("family"), name.alias("predicted"), F.round("p", 6).alias("probability"), (-F.col("near.j")).alias("template"), F.round("near.held", 6).alias("held"))
-    return parts.select("doc_id", "paragraph", "part", "key").join(verdicts, "key").drop("key")
+    found = cut(parts.drop("words").join(verdicts, "key").drop("key"))
+    said = found.filter("part >= 0")
+    confirmed = said.filter(F.col("family") != UNKNOWN).select(F.col("row").alias("r"), F.col("paragraph").alias("line"), F.col("template").alias("t"))
+    wrapped = found.filter((F.col("part") < 0) & (F.col("family") != UNKNOWN))
+    wrapped = wrapped.join(confirmed, (F.col("row") == F.col("r")) & (F.col("template") == F.col("t")) & F.col("line").between(F.col("first"), F.col("last")), "left_anti")
+    whole = wrapped.select(F.col("row").alias("r"), F.col("family").alias("f"), F.col("first").alias("since"), F.col("last").alias("until"))
+    said = said.join(whole, (F.col("family") == UNKNOWN) & (F.col("row") == F.col("r")) & (F.col("predicted") == F.col("f")) & F.col("paragraph").between(F.col("since"), F.col("until")), "left_anti")
+    return said.unionByName(wrapped).drop("row", "first", "last")
 
 
 def scan_corpus(docs: DataFrame, training: Training = Training()) -> DataFrame:

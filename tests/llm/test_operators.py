@@ -142,6 +142,28 @@ def test_license_cases(spark):
     assert licenses.scan_corpus(docs_of(spark, [])).collect() == []
 
 
+def test_license_wrapped_over_lines(spark):
+    import textwrap
+
+    rng = random.Random(4)
+    noise = lambda n: "\n".join(" ".join("".join(rng.choice("abcdeionrst") for _ in range(rng.randint(2, 9))) for _ in range(9)) for _ in range(n))
+    docs, said = [], set()
+    for family, templates in licenses.TEMPLATES.items():
+        for t, template in enumerate(templates):
+            for width in (30, 76):
+                if len(lines := textwrap.wrap(template, width)) > 1:
+                    i = len(docs)
+                    docs.append((i, noise(i % 9) + "\n\n" + "\n".join(("# " if i % 2 else "") + x for x in lines) + "\n\n" + noise(i % 5), "en", "a"))
+                    said.add((i, family))
+    docs += [docs[0], (900, "Released under the\nMIT License\n" + noise(12) + "\nReleased under the MIT License", "en", "a"), (901, noise(30).replace("\n", " source\n") + "\nThe driver had a license\nto drive in the city.", "en", "a")]
+    rows = licenses.scan_corpus(docs_of(spark, docs)).collect()
+    sure = [(r["doc_id"], r["family"]) for r in rows if r["family"] != licenses.UNKNOWN]
+    assert len(said) > 25 and set(sure) == said | {(900, "mit")}
+    assert {r["paragraph"] for r in rows if r["doc_id"] == 900} == {0, 14}
+    once = [tuple(r) for r in rows if r["doc_id"] == 0]
+    assert len(once) == 2 * len(set(once))  # a repeated row has its findings again
+
+
 # 3 sharding
 
 
