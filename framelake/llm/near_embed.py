@@ -5,8 +5,10 @@ transform), and hashed to the coordinate of the greatest magnitude, with its sig
 joins several such hashes; their number grows with the logarithm of the number of distinct
 vectors, so that buckets of unrelated vectors stay small. Every vector is stored under its own key
 in each table, and looks under its own key and the next likely ones (multiprobe: the second
-greatest coordinates where they come nearest to the first). Pairs that meet are verified by their
-cosine in double precision.
+greatest coordinates where they come nearest to the first). The more hashes a key joins, the fewer
+near pairs meet in a table; the number of tables grows with the hashes, so that the share of pairs at
+the threshold that meet in none stays below MISSED at every size. Pairs that meet are verified by
+their cosine in double precision.
 
 Equal vectors are one class: it is hashed once, its members link with each other, and count in the
 links of the classes near it. Buckets are met by an equi-join, which Spark may split where one is
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from framelake.llm.common import cut
 from framelake.llm.components import components
 
-#: Tables, further buckets that a vector looks into in each, and the seed of the rotations.
+#: Tables at least, further buckets that a vector looks into in each, and the seed of the rotations.
 TABLES, PROBES, SEED = 8, 3, 11
+#: The share of pairs at the threshold that may meet in no table.
+MISSED = 2e-5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -90,10 +94,25 @@ def hashes_for(n: int, length: int) -> int:
     return max(1, min(math.ceil(math.log(max(2, n)) / math.log(2 * width)), int(62 / math.log2(2 * width))))
 
 
+def tables_for(hashes: int, length: int, threshold: float, probes: int = PROBES) -> int:
+    """So many that of pairs with that cosine a share of MISSED at most meets in none; by drawn pairs, two deviations to the safe side."""
+    width = 1 << max(1, (max(1, length) - 1).bit_length())
+    n, tried = max(50, min(1000, 64_000 // width)), 8
+    rng = np.random.default_rng([SEED, width, hashes])
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, n, width)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    ka, kb = keys(a, hashes, tried, probes, SEED + 1), keys(b, hashes, tried, probes, SEED + 1)
+    met = ((ka == kb[:, :, :1]) | (kb == ka[:, :, :1])).any(2).mean()
+    least = max(1 / (n * tried), met - 2 * math.sqrt(met * (1 - met) / (n * tried)))
+    return 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log(1 - least))
+
+
 def close_pairs(classes: DataFrame, threshold: float, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(a, b) with a < b: classes (cid, v: array<double>, norm) found with at least that cosine."""
     n, length = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     hashes = hashes_for(n, length or 1)
+    tables = max(tables, tables_for(hashes, length or 1, threshold, probes))
 
     @F.pandas_udf("array<array<long>>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

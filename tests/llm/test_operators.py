@@ -301,6 +301,19 @@ def test_embeddings(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows.values())
 
 
+@pytest.mark.parametrize("hashes", [3, 4])
+def test_embeddings_recall_with_more_hashes(spark, hashes, monkeypatch):
+    monkeypatch.setattr(near_embed, "hashes_for", lambda n, length: hashes)
+    rng = np.random.default_rng(12)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 4000, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9501 * a + math.sqrt(1 - 0.9501**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    vectors = [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))]
+    rows = near_embed.groups(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    links = sum(r["n_links"] for r in rows) // 2
+    assert 3999 <= links <= 4000, links
+
+
 def test_embeddings_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 0.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0]), (None, [1.0, 2.0]), (11, [])]
