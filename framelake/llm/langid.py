@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import release_memory
+from framelake.llm.common import held, release_memory
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -300,9 +300,6 @@ class Labeller:
         return langs, scores
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """struct<lang_pred: string, score: double> of a text. A batch of rows is worked on in parts of about a million characters."""
     if model is None:
@@ -310,10 +307,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if model.key not in _labellers:
-            _labellers.clear()
-            _labellers[model.key] = Labeller(model)
-        own = _labellers[model.key]
+        own = held(f"langid {model.key}", lambda: Labeller(model))
         for batch in batches:
             langs, scores, part, chars = [], [], [], 0
             for t in [*batch, ...]:
