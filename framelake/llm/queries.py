@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import bpe, chat, exact_dedup, langid, licenses, mixing, near_embed, secrets_ledger, sharding, simhash
-from framelake.llm.common import read
+from framelake.llm.common import ensure_checkpoint_dir, read
 
 
 def tokenizer_path() -> str:
@@ -45,7 +46,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets_ledger.scan(read(spark, sf_dir, "documents"))[0].select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    """A ledger of its own, written beside the corpus; the report is read out of it."""
+    ledger = secrets_ledger.Ledger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4()}")
+    return ledger.commit(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,23 @@ Every text is addressed by its SHA-256 (its blob). A pair of blob and rule versi
 pairs that the ledger holds are taken from it, each other blob is scanned once whatever number of
 paths hold it, and the findings are joined back to all paths.
 
+Ledger keeps both as tables in a folder: commit() records a version of the corpus, scans what no
+version before it had scanned by these rules, and reports the findings of all its paths out of the
+tables.
+
 Spans are code points, end exclusive. A match's start is the sum of the lengths of the gaps and the
 matches before it, both of which the regular expression gives in one pass each.
 
 Defined cases: a null text is the empty text; repeated rows and paths of equal text share findings;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored. Two versions of a kind, and rules
+beyond the base ones, add spans; base_sha256 is of the base kinds alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import cut
@@ -40,7 +45,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
-EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+BASE = tuple(r.kind for r in RULES)
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -59,35 +64,88 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return placed.select("blob", "rank", of_rule([r.kind for r in rules]).alias("kind"), of_rule([r.version for r in rules]).alias("version"), (F.col("stop") - F.col("match")).alias("start"), "stop")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(paths with their findings, findings of all blobs met, ledger rows to add).
+def wanted(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Those of the rules, at their versions."""
+    own = F.lit(False)
+    for rule in rules:
+        own = own | ((F.col("kind") == rule.kind) & (F.col("version") == rule.version))
+    return findings.filter(own)
 
-    seen: the ledger (blob, kind, version) of pairs that were scanned; known: their findings, as the
-    second result of the scans before.
-    """
+
+def unseen(docs: DataFrame, rules: tuple[Rule, ...], seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Paths (doc_id, text, blob), and the blobs (blob, text, todo) that some rule hasn't scanned."""
     text = F.coalesce(F.col("text"), F.lit(""))
     paths = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
     blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))  # partial first: copies are dropped before the exchange
     every = F.array(*[F.lit(i) for i in range(len(rules))])
     if seen is None:
-        todo = blobs.withColumn("todo", every)
-    else:
-        ranks: Column = F.lit(None).cast("int")
-        for i, rule in enumerate(rules):
-            ranks = F.when((F.col("kind") == rule.kind) & (F.col("version") == rule.version), F.lit(i)).otherwise(ranks)
-        done = seen.select("blob", ranks.alias("rank")).filter("rank is not null").groupBy("blob").agg(F.collect_set("rank").alias("done"))
-        todo = blobs.join(done, "blob", "left").select("blob", "text", F.array_except(every, F.coalesce("done", F.array().cast("array<int>"))).alias("todo")).filter(F.size("todo") > 0)
+        return paths, blobs.withColumn("todo", every)
+    ranks: Column = F.lit(None).cast("int")
+    for i, rule in enumerate(rules):
+        ranks = F.when((F.col("kind") == rule.kind) & (F.col("version") == rule.version), F.lit(i)).otherwise(ranks)
+    done = seen.select("blob", ranks.alias("rank")).filter("rank is not null").groupBy("blob").agg(F.collect_set("rank").alias("done"))
+    return paths, blobs.join(done, "blob", "left").select("blob", "text", F.array_except(every, F.coalesce("done", F.array().cast("array<int>"))).alias("todo")).filter(F.size("todo") > 0)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths with their findings, findings of all blobs met, ledger rows to add), without tables of its own.
+
+    seen: the ledger (blob, kind, version) of pairs that were scanned; known: their findings, as the
+    second result of the scans before.
+    """
+    paths, todo = unseen(docs, rules, seen)
     findings = scan_blobs(todo, rules)
     added = todo.select("blob", F.explode("todo").alias("rank")).select("blob", F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1).alias("kind"), F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("rank") + 1).alias("version"))
     if known is not None:
-        wanted = F.lit(False)
-        for rule in rules:
-            wanted = wanted | ((F.col("kind") == rule.kind) & (F.col("version") == rule.version))
-        findings = findings.unionByName(known.filter(wanted).join(paths.select("blob").distinct(), "blob", "left_semi"))
-    listed = F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "stop")))
-    by_blob = findings.groupBy("blob").agg(*[F.count_if(F.col("rank") == i).alias(f"n_{r.kind}") for i, r in enumerate(rules)], listed.alias("found"))
-    by_blob = by_blob.withColumn("spans", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")).drop("found")
-    by_blob = cut(by_blob)  # what the ledger keeps anyhow; Spark can then split a blob that fills a partition of the paths
-    report = paths.select("doc_id", "blob").join(by_blob, "blob", "left")
-    spans = F.coalesce("spans", F.lit(""))
-    return report.select("doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob"), findings, added
+        findings = findings.unionByName(wanted(known, rules).join(paths.select("blob").distinct(), "blob", "left_semi"))
+    return report(paths, findings, rules), findings, added
+
+
+def report(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, n_<kind> of each rule, base_sha256, spans, blob) of paths (doc_id, blob)."""
+    kinds = list(dict.fromkeys(r.kind for r in rules))
+    order: Column = F.lit(len(kinds))
+    for i, kind in enumerate(kinds):
+        order = F.when(F.col("kind") == kind, F.lit(i)).otherwise(order)
+    listed = F.array_sort(F.collect_set(F.struct("start", order.alias("rank"), "kind", "stop")))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    by_blob = findings.groupBy("blob").agg(listed.alias("found"))
+    of_kind = lambda kind: F.filter("found", lambda x: x["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    by_blob = cut(by_blob.select("blob", *counts, joined(F.col("found")).alias("spans"), joined(F.filter("found", lambda x: x["kind"].isin(*BASE))).alias("base")))  # Spark can then split a blob that fills a partition of the paths
+    every = paths.select("doc_id", "blob").join(by_blob, "blob", "left")
+    return every.select("doc_id", *[F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in kinds], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "blob")
+
+
+class Ledger:
+    """Tables in a folder that all executors share: findings (blob, rank, kind, version, start, stop) and scanned (blob, kind, version).
+
+    A commit appends the findings first and the pairs last, so that a commit that broke off is scanned again; findings are
+    read as a set.
+    """
+
+    FINDINGS = "blob string, rank int, kind string, version int, start long, stop long"
+    SCANNED = "blob string, kind string, version int"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.findings_at, self.scanned_at = spark, f"{folder}/findings", f"{folder}/scanned"
+        spark.createDataFrame([], self.FINDINGS).write.mode("append").parquet(self.findings_at)
+        spark.createDataFrame([], self.SCANNED).write.mode("append").parquet(self.scanned_at)
+
+    @property
+    def findings(self) -> DataFrame:
+        return self.spark.read.schema(self.FINDINGS).parquet(self.findings_at)
+
+    @property
+    def scanned(self) -> DataFrame:
+        return self.spark.read.schema(self.SCANNED).parquet(self.scanned_at)
+
+    def commit(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """report() of docs; blobs that an earlier commit scanned by these rule versions aren't looked at again."""
+        paths, todo = unseen(docs, rules, self.scanned)
+        scan_blobs(todo, rules).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in self.FINDINGS.split(", ")]).write.mode("append").parquet(self.findings_at)
+        pairs = self.spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+        scanned = self.scanned
+        met = paths.select("blob").distinct().join(F.broadcast(pairs)).join(scanned, ["blob", "kind", "version"], "left_anti")
+        met.write.mode("append").parquet(self.scanned_at)
+        return report(paths, wanted(self.findings, rules), rules)
