@@ -9,6 +9,11 @@ the rendering and the part of it that is trained on, so that a conversation of a
 no task or row that holds it whole. Places come from sums over blocks of turns, and sums within a
 block. render() joins the segments of one conversation.
 
+A conversation of t turns and p participants has t * p rows: the rotation is the feature.
+
+Words can't forge a mark: `<|` in a text, role or name is written `<\\|`, and `<\\` before it `<\\\\`, so that unescape() gives the text
+back; line breaks in a role or name are spaces.
+
 Defined cases: turns are ordered by turn, nulls first, ties by role and text; a null role is the
 participant `unknown`, a null text is empty; a null conv_id is a conversation of its own; repeated
 rows are turns of their own; a conversation of context turns only has no rendering; an empty table
@@ -17,7 +22,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turns of a block, in which one task adds up places.
@@ -25,6 +30,14 @@ BLOCK = 256
 CONTEXT = ("system",)
 
 
+def escape(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
+def unescape(text: str) -> str:
+    return text.replace("<\\|", "<|").replace("<\\\\", "<\\")
+
+
 def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """(conv_id, perspective, seq, turn, role, name, segment, start, stop, mask_start, mask_stop); places in code points.
 
@@ -35,8 +48,10 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     seen = rows.join(views, rows["conv_id"].eqNullSafe(views["c"])).drop("c")
     role = F.when(F.col("speaker").isin(*context), F.col("speaker")).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     name = F.when(role == "user", F.col("speaker"))
-    head = F.concat(F.lit("<|im_start|>"), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
-    parts = seen.withColumns({"role": role, "name": name, "segment": F.concat(head, "text", F.lit("<|im_end|>\n")), "head": F.length(head), "block": F.floor(F.coalesce("turn", F.lit(0)) / BLOCK)})
+    line = lambda c: escape(F.regexp_replace(c, r"[\r\n]+", " "))
+    head = F.concat(F.lit("<|im_start|>"), line(role), F.coalesce(F.concat(F.lit(" name="), line(name)), F.lit("")), F.lit("\n"))
+    first = F.lit(-(1 << 63)).cast("long")  # null turns come before all blocks
+    parts = seen.withColumns({"role": role, "name": name, "segment": F.concat(head, escape(F.col("text")), F.lit("<|im_end|>\n")), "head": F.length(head), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), first)})
     parts = parts.withColumn("chars", F.length("segment"))
     key = ["conv_id", "perspective"]
     blocks = parts.groupBy(*key, "block").agg(F.sum("chars").alias("block_chars"), F.count("*").alias("block_turns"))
