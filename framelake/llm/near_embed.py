@@ -8,7 +8,8 @@ in each table, and looks under its own key and the next likely ones (multiprobe:
 greatest coordinates where they come nearest to the first). The more hashes a key joins, the fewer
 near pairs meet in a table; the number of tables grows with the hashes, so that the share of pairs at
 the threshold that meet in none stays below MISSED at every size. Pairs that meet are verified by
-their cosine in double precision.
+their cosine in double precision, after each is scaled by a power of two, which changes no digit,
+so that squares neither overflow nor vanish.
 
 Equal vectors are one class: it is hashed once, its members link with each other, and count in the
 links of the classes near it. Buckets are met by an equi-join, which Spark may split where one is
@@ -142,12 +143,15 @@ def groups(vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, pr
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", v.alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    plain = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    greatest = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    plain = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (greatest > 0), F.lit(False))
     marked = rows.withColumn("ok", plain)
     sound = marked.filter("ok")
     classes = cut(sound.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("size")))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("norm", norm))
-    pairs = cut(close_pairs(classes, threshold, tables, probes))
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(greatest)), F.lit(-1022)).cast("double"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    scaled = classes.select("cid", "v", unit.alias("unit")).select("cid", F.transform("v", lambda x: x / F.col("unit")).alias("v")).withColumn("norm", norm)
+    pairs = cut(close_pairs(scaled, threshold, tables, probes))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(classes.select(F.col("cid").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "cid")
     found = components(pairs).withColumnRenamed("node", "cid")
