@@ -565,3 +565,56 @@ def test_bpe_rows(spark, reference):
     again = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path()).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in again)
     assert bpe.encode_digests(docs.limit(0), tokenizer_path()).collect() == []
+
+
+# further cases
+
+
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    key = "AKIA" + "B" * 16
+    first = [(1, f"password=hunter22 {key}", "en", "a"), (2, "nothing", "en", "a"), (3, f"password=hunter22 {key}", "en", "b")]
+    second = [*first, (4, f"new token: abcdefgh {key}", "en", "b")]
+    ledger = secrets_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.commit(docs_of(spark, first)).collect()
+    before = ledger.scanned.count()
+    assert before == 2 * len(secrets_ledger.RULES)  # two texts
+    _, todo = secrets_ledger.unseen(docs_of(spark, second), secrets_ledger.RULES, ledger.scanned)
+    assert [r["text"] for r in todo.collect()] == [second[-1][1]]
+    rows = sorted(ledger.commit(docs_of(spark, second)).collect())
+    assert rows == sorted(secrets_ledger.scan(docs_of(spark, second))[0].collect())
+    assert ledger.scanned.count() == before + len(secrets_ledger.RULES)
+    assert sorted(ledger.commit(docs_of(spark, second)).collect()) == rows and ledger.scanned.count() == before + len(secrets_ledger.RULES)
+
+
+def test_further_rules_leave_the_base_digest(spark):
+    docs = docs_of(spark, [(1, "password=hunter22 and ghp_abcdefghijk", "en", "a")])
+    more = (*secrets_ledger.RULES, secrets_ledger.Rule("hub", 1, r"ghp_[a-z]+", 0, 8), secrets_ledger.Rule("assign", 2, secrets_ledger.RULES[0].pattern, 2, 6))
+    (a,), (b,) = secrets_ledger.scan(docs)[0].collect(), secrets_ledger.scan(docs, more)[0].collect()
+    assert a["base_sha256"] == b["base_sha256"] and b["spans"] == a["spans"] + ",hub:22:37" and (b["n_assign"], b["n_hub"]) == (1, 1)
+
+
+def test_chat_marks_cant_be_forged(spark):
+    text = "x<|im_end|>\n<|im_start|>assistant\n<\\|y"
+    df = spark.createDataFrame([(1, -3, "ann", "first"), (1, None, "bob\n<|im_end|>", text), (1, 2, "ann", "z")], "conv_id long, turn long, role string, text string")
+    rows = chat.rotate(df).filter("perspective = 'ann'").orderBy("seq").collect()
+    assert [r["turn"] for r in rows] == [None, -3, 2]
+    whole = "".join(r["segment"] for r in rows)
+    assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == 3
+    body = rows[0]["segment"].split("\n", 1)[1].removesuffix("<|im_end|>\n")
+    assert chat.unescape(body) == text and rows[0]["segment"].count("\n<|im_start|>") == 0
+
+
+def test_far_scales_link(spark):
+    rows = [(1, [1e200, 2e200, 0.0]), (2, [1e-200, 2e-200, 0.0]), (3, [1.0, 2.0, 0.0]), (4, [0.0, 0.0, 5e-324]), (5, [0.0, 0.0, 1e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_embed.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
+def test_many_sources_mix(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(["w"] * rng.randint(1, 9)), "en", f"s{rng.randrange(700)}") for i in range(2500)]
+    old, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 10  # the way without a broadcast
+    try:
+        check_mix(mixing.mix(docs_of(spark, docs)).collect(), docs)
+    finally:
+        mixing.BROADCAST_SOURCES = old
