@@ -9,6 +9,7 @@ from __future__ import annotations
 import ipaddress
 import json
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -120,6 +121,28 @@ def dns(data: bytes) -> Iterator[Node]:
             texts = Bytes(body)
             while texts.left:
                 yield "dns.txt", 3, texts.take(texts.u(1)).decode("utf-8", "replace")
+        elif kind == 6:
+            first, here = dns_name(data, start)
+            second, here = dns_name(data, here)
+            yield "dns.soa.mname", 3, first
+            yield "dns.soa.rname", 3, second
+            numbers = Bytes(data, here, start + n)
+            for field in ("serial", "refresh", "retry", "expire", "minimum"):
+                yield f"dns.soa.{field}", 3, numbers.u(4)
+        elif kind == 41:  # the class and the time are other things here
+            yield "dns.opt.udp_size", 3, cls
+            yield "dns.opt.rcode", 3, ttl >> 24
+            yield "dns.opt.version", 3, ttl >> 16 & 255
+            yield "dns.opt.do", 3, bool(ttl >> 15 & 1)
+        elif kind == 47:
+            after, here = dns_name(data, start)
+            yield "dns.nsec.next", 3, after
+            maps = Bytes(data, here, start + n)
+            while maps.left:
+                block, bits = maps.u(1), maps.take(maps.u(1))
+                for i in range(8 * len(bits)):
+                    if bits[i // 8] >> 7 - i % 8 & 1:
+                        yield "dns.nsec.type", 3, block << 8 | i
         elif kind == 33:
             for i, field in enumerate(("priority", "weight", "port")):
                 yield f"dns.srv.{field}", 3, int.from_bytes(body[2 * i : 2 * i + 2], "big")
@@ -229,8 +252,6 @@ def http(data: bytes) -> Iterator[Node]:
         yield "http.payload", 2, body
         plain = dechunk(body) if "chunked" in seen.get("transfer-encoding", "").lower() else body
         if seen.get("content-encoding", "").lower() in ("gzip", "deflate"):
-            import zlib
-
             plain = zlib.decompressobj(47).decompress(plain, 1 << 24)
         if plain != body:
             yield "http.payload.decoded", 2, plain
@@ -350,12 +371,19 @@ def websocket(data: bytes) -> Iterator[Node]:
         size = b.u(2) if size == 126 else b.u(8) if size == 127 else size
         yield "websocket.frame", 2, None
         yield "websocket.fin", 3, bool(first & 128)
+        yield "websocket.rsv1", 3, bool(first & 64)
         yield "websocket.opcode", 3, first & 15
         yield "websocket.mask", 3, bool(second & 128)
         yield "websocket.payload_length", 3, size
         key = b.take(4) if second & 128 else b"\0\0\0\0"
         body = b.take(size)
-        yield "websocket.payload", 3, bytes(c ^ key[i % 4] for i, c in enumerate(body))
+        plain = bytes(c ^ key[i % 4] for i, c in enumerate(body))
+        yield "websocket.payload", 3, plain
+        if first & 64 and first & 128 and first & 15 in (1, 2):  # permessage-deflate, without context from message to message
+            try:
+                yield "websocket.payload.decoded", 3, zlib.decompressobj(-15).decompress(plain + b"\0\0\xff\xff", 1 << 24)
+            except zlib.error as e:
+                raise Malformed(f"bad compression: {e}") from None
 
 
 @register("http2")
@@ -431,6 +459,18 @@ def can(data: bytes) -> Iterator[Node]:
     """A SocketCAN frame; FD frames have flags beside the length."""
     b = Bytes(data)
     yield "can", 1, data
+    if len(data) >= 12 and data[4] & 0x80:  # XL: priority and network, flags, type, little-endian length, acceptance field
+        word, flags, kind = b.u(4), b.u(1), b.u(1)
+        size = int.from_bytes(b.take(2), "little")
+        yield "can.xl.priority", 2, word & 0x7FF
+        yield "can.xl.vcid", 2, word >> 16 & 0xFF
+        yield "can.flags.xl", 2, True
+        yield "can.flags.sec", 2, bool(flags & 1)
+        yield "can.xl.sdt", 2, kind
+        yield "can.len", 2, size
+        yield "can.xl.af", 2, int.from_bytes(b.take(4), "little")
+        yield "can.data", 2, b.take(min(size, b.left))
+        return
     ident, size, flags = b.u(4), b.u(1), b.u(1)
     b.take(2)
     extended = bool(ident & 0x80000000)
@@ -451,6 +491,16 @@ def text(data: bytes) -> Iterator[Node]:
         yield "text.line", 2, line
 
 
+def nodes_safely(name: str, data: bytes) -> Iterator[Node]:
+    """What the dissector yields; a fault is a last node `packet.error`."""
+    dissector = REGISTRY.get(name)
+    if dissector:
+        try:
+            yield from dissector(data)
+        except (Malformed, struct.error, ipaddress.AddressValueError, ValueError, IndexError) as e:
+            yield "packet.error", 1, f"{name}: {e}"
+
+
 #: First match wins, as for payloads on ports that say nothing.
 HEURISTICS: list[tuple[str, Callable[[bytes], bool]]] = [
     ("http", lambda d: d.startswith(tuple(m + b" " for m in METHODS)) or d.startswith(b"HTTP/1.")),
@@ -478,14 +528,10 @@ def nodes_of(name: str | None, data: bytes) -> list[tuple]:
             out[a][3] = own
         above.append(own)
 
-    dissector = REGISTRY.get(name or guess(data) or "")
-    if dissector:
-        try:
-            for label, depth, v in dissector(data):
-                put(label, depth, v)
-        except (Malformed, struct.error, ipaddress.AddressValueError, ValueError, IndexError) as e:
+    for label, depth, v in nodes_safely(name or guess(data) or "", data):
+        if label == "packet.error":
             above.clear()
-            put("packet.error", 1, f"{name}: {e}")
+        put(label, depth, v)
     return [tuple(x) for x in out]
 
 

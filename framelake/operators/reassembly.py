@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 
 def concat_stream(segments: DataFrame, key: str = "conn_id", seq: str = "seq", payload: str = "payload", first: int = 0) -> DataFrame:
-    """(key, data, bytes, segments, state): payloads in order of seq, as far as seq has no gap; `pending` if it has one."""
+    """(key, data, bytes, segments, state): payloads in order of seq, as far as seq has no gap; `pending` if it has one.
+
+    Of segments with one seq the first in order of bytes counts. A key's segments make one row, as for messages of bounded
+    length; tcp.stream_bytes() tells a connection in pieces.
+    """
     part = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(payload).alias("p"))))
     g = segments.groupBy(key).agg(part.alias("a"))
+    g = g.withColumn("a", F.filter("a", lambda x, i: (i == 0) | (F.get(F.col("a"), i - 1)["s"] != x["s"])))
     gapless = F.filter("a", lambda x, i: x["s"] == i + first)
-    whole = F.aggregate(F.transform(gapless, lambda x: F.hex(x["p"])), F.lit(""), lambda t, x: F.concat(t, x))
-    return g.select(key, F.unhex(whole).alias("data"), F.size(gapless).cast("bigint").alias("segments"), F.when(F.size(gapless) == F.size("a"), "complete").otherwise("pending").alias("state")).withColumn("bytes", F.octet_length("data").cast("bigint"))
+    whole = F.aggregate(F.transform(gapless, lambda x: F.coalesce(x["p"], F.lit(bytearray()))), F.lit(bytearray()), lambda t, x: F.concat(t, x))
+    return g.select(key, whole.alias("data"), F.size(gapless).cast("bigint").alias("segments"), F.when(F.size(gapless) == F.size("a"), "complete").otherwise("pending").alias("state")).withColumn("bytes", F.octet_length("data").cast("bigint"))
 
 
 @dataclass(frozen=True)
@@ -113,33 +118,39 @@ def reassemble(fragments: DataFrame, keys: list[str], policy: FragmentPolicy = I
     return dealt.mapInPandas(run, "packet_id bigint, outcome string, payload binary")
 
 
-def messages(segments: DataFrame, key: str, boundary: Callable[[bytes], int | None], order: str = "seq", payload: str = "payload") -> DataFrame:
-    """(key, n, data): the messages of each stream. boundary: the length of the first message of a buffer, None if it needs more, 0 if it can't tell (a byte is skipped).
+def messages(segments: DataFrame, key: str, boundary: Callable[[bytes], int | None], order: str = "seq", payload: str = "payload", missing: str | None = None, resync: Callable[[bytes], int] | None = None) -> DataFrame:
+    """(key, n, data): the messages of each stream. boundary: the length of the first message of a buffer, None if it needs more, 0 if it can't tell.
 
-    Streams are dealt by key and sorted; a task holds the unfinished message of one stream.
+    Where it can't tell, resync says at which later byte a message may start (its buffer's length if at none); a byte
+    is skipped by default. missing: a column of bytes that are known to be lost before a segment: what was begun before
+    them is dropped. Streams are dealt by key and sorted; a task holds the unfinished message of one stream.
     """
     kind = dict(segments.dtypes)[key]
+    lost = F.col(missing) if missing else F.lit(0).cast("bigint")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, buffer, n = None, b"", 0
         for pdf in batches:
             rows = []
-            for k, _, data in pdf.itertuples(index=False):
+            for k, _, data, gap in pdf.itertuples(index=False):
                 if k != here:
                     here, buffer, n = k, b"", 0
-                buffer += bytes(data)
-                while buffer:
-                    size = boundary(buffer)
-                    if size is None or size > len(buffer):
+                buffer = bytes(data) if gap else buffer + bytes(data)
+                at = 0
+                while at < len(buffer):
+                    rest = buffer[at:]
+                    size = boundary(rest)
+                    if size is None or size > len(rest):
                         break
                     if size == 0:
-                        buffer = buffer[1:]
+                        at += max(1, resync(rest)) if resync else 1
                         continue
-                    rows.append((here, n, buffer[:size]))
-                    buffer, n = buffer[size:], n + 1
+                    rows.append((here, n, rest[:size]))
+                    at, n = at + size, n + 1
+                buffer = buffer[at:]
             yield pd.DataFrame(rows, columns=[key, "n", "data"])
 
-    return segments.select(key, order, payload).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kind}, n bigint, data binary")
+    return segments.select(key, order, payload, lost.alias("__lost")).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kind}, n bigint, data binary")
 
 
 def length_prefix(at: int, width: int, extra: int = 0, little: bool = False) -> Callable[[bytes], int | None]:
@@ -184,3 +195,8 @@ def stream_index(df: DataFrame, a: list[str], b: list[str], order: str = "packet
     numbers = Presence(firsts.select(F.col("__first").alias("packet_id")), "packet_id").numbered().withColumnRenamed("packet_id", "__f")
     named = firsts.join(numbers, F.col("__first") == F.col("__f")).select(F.col("__lo").alias("__l"), F.col("__hi").alias("__h"), F.col("rank").alias("stream"))
     return keyed.join(named, (F.col("__lo") == F.col("__l")) & (F.col("__hi") == F.col("__h"))).drop("__lo", "__hi", "__l", "__h")
+
+
+def time_deltas(df: DataFrame, keys: list[str], order: str, time: str, name: str = "delta_ns") -> DataFrame:
+    """df with the time since the row before of the same key; null for the first."""
+    return df.withColumn(name, F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(order)))

@@ -11,7 +11,7 @@ from framelake.catalog import Catalog, Field, FilterError
 from framelake.functions.stage import staged
 from framelake.lang import nodes as N
 from framelake.lang.parser import parse
-from framelake.types import NODE_COLUMN, NUMBERS, WIDTH, FieldType, to_bytes
+from framelake.types import NODE_COLUMN, NUMBERS, SPARK, WIDTH, FieldType, to_bytes
 
 LITERAL_TYPE = {"int": FieldType.U64, "float": FieldType.F64, "str": FieldType.STRING, "bool": FieldType.BOOL, "ipv4": FieldType.IPV4, "ipv6": FieldType.IPV6, "mac": FieldType.MAC, "bytes": FieldType.BYTES}
 _OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
@@ -46,13 +46,38 @@ def compare(v: Column, kind: FieldType, op: str, lit: N.Literal) -> Column:
     return constant(op, (kind > code) - (kind < code))
 
 
+@dataclass(frozen=True)
+class Container:
+    """A node kind whose occurrences are the structs of one array column (None: there is one, the packet itself). members: field -> member of the struct."""
+
+    column: str | None
+    members: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Inside:
+    """A scope's domain where the layout has containers: one struct of a container, or one value of a field."""
+
+    name: str
+    members: dict[str, str]
+    at: Column
+
+    def values(self, name: str) -> Column | None:
+        if name == self.name:
+            return F.array(self.at)
+        return F.array(self.at[self.members[name]]) if name in self.members else None
+
+
 @dataclass
 class Layout:
     """Where a frame keeps packets: an array column for each field (its position is the occurrence), an array of nodes, or both.
 
     nodes: array<struct<name, node_id, parent, depth, stop, i64, f64, str, bin, dec, bool>> in pre-order: node_id is the place in
     the array, stop the last node below, so that what is below a node is one slice.
-    exhaustive: `protocols` names the protocol of every field there is, so that presence implies it.
+    containers: scopes over them look at the fields' own arrays, and need no tree.
+    trees: the protocols that the tree holds, where it doesn't hold all.
+    exhaustive: `protocols` names the protocol of every field there is, so that presence implies it; carriers: of a protocol
+    that may be missing there, the one around it.
     """
 
     catalog: Catalog
@@ -62,6 +87,9 @@ class Layout:
     packet_id: str = "packet_id"
     timestamp: str = "timestamp_ns"
     exhaustive: bool = False
+    containers: dict[str, Container] = field(default_factory=dict)
+    trees: frozenset[str] | None = None
+    carriers: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -80,25 +108,35 @@ class Filter:
     column: Column
     flanks: list[FlankCall]
     implied: Column | None
+    tree_used: bool = False
 
     @property
     def stateful(self) -> bool:
         return bool(self.flanks)
 
+    def rederive(self, layout: Layout) -> Filter:
+        """The same expression over another layout; what that doesn't know is refused."""
+        return compile_filter(self.text, layout)
+
 
 class Compiler:
     def __init__(self, layout: Layout, short_circuit: bool = False) -> None:
         self.layout, self.catalog, self.short_circuit = layout, layout.catalog, short_circuit
         self.flanks: list[FlankCall] = []
+        self.tree_used = False
 
     # values
 
     def in_domain(self, domain: Column | None) -> Column:
+        self.tree_used = True
         nodes = F.coalesce(F.col(self.layout.nodes), F.array())
         return nodes if domain is None else F.slice(nodes, domain["node_id"] + 1, domain["stop"] - domain["node_id"] + 1)
 
-    def values(self, f: Field, domain: Column | None) -> Column:
+    def values(self, f: Field, domain: Column | Inside | None) -> Column:
         """All occurrences, in order; an empty or null array where there is none."""
+        if isinstance(domain, Inside):
+            found = domain.values(f.name)
+            return found if found is not None else F.array().cast(f"array<{SPARK[f.type]}>")
         if domain is None and f.name in self.layout.columns:
             return F.col(f"`{self.layout.columns[f.name]}`")
         if not self.layout.nodes:
@@ -147,6 +185,8 @@ class Compiler:
 
     def presence(self, name: str, span, domain: Column | None) -> Column:
         if name in self.catalog.protocols:
+            if isinstance(domain, Inside):
+                return F.lit(name == domain.name or any(self.catalog.fields[m].protocol == name for m in domain.members))
             if domain is None and self.layout.protocols:
                 return F.coalesce(F.array_contains(F.col(self.layout.protocols), name), F.lit(False))
             own = [f for f in self.catalog.fields.values() if f.protocol == name]
@@ -217,13 +257,41 @@ class Compiler:
             raise FilterError("this layout has no tree to look into", node.span)
         if any(isinstance(x, N.Flank) for x in N.walk(node.inner)):
             raise FilterError("flank inside a scope", node.span)
+        fast = self.contained(node, domain)
+        if fast is not None:
+            return fast
         names = [node.name] if node.name in self.catalog.protocols else [f.name for f in self.catalog.members(node.name, node.span)]
+        owners = {n if n in self.catalog.protocols else self.catalog.fields[n].protocol for n in names}
+        if self.layout.trees is not None and not owners <= self.layout.trees:
+            raise FilterError(f"{node.name} isn't part of the tree", node.span)
         hits = F.filter(self.in_domain(domain), lambda n: n["name"].isin(names))
         if node.index is not None:  # breadth first is by depth, then in order
             found = F.array_sort(F.transform(hits, lambda n: F.struct(n["depth"].alias("depth"), n["node_id"].alias("node_id"), n["stop"].alias("stop"))))
             hits = F.slice(found, node.index + 1, 1)
         return F.coalesce(F.exists(hits, lambda n: self.compile(node.inner, n)), F.lit(False))
 
+    def contained(self, node: N.Scope, domain: Column | Inside | None) -> Column | None:
+        """The scope over a container or a field, without the tree; None if the layout can't say it so."""
+        if not self.layout.containers or isinstance(domain, Column):
+            return None
+        own = self.layout.containers.get(node.name)
+        if own is not None and own.column is None:
+            if domain is not None:
+                return None
+            return F.lit(False) if node.index else self.presence(node.name, node.span, None) & self.compile(node.inner)
+        if own is not None:
+            if domain is not None:
+                return None
+            rows, made = F.col(f"`{own.column}`"), lambda x: Inside(node.name, own.members, x)
+        elif node.name in self.catalog.fields:
+            f = self.catalog.fields[node.name]
+            rows, made = self.values(f, domain), lambda x: Inside(f.name, {}, x)
+        else:
+            return None
+        if node.index is not None:
+            rows = F.slice(rows, node.index + 1, 1)
+        return F.coalesce(F.exists(rows, lambda x: self.compile(node.inner, made(x))), F.lit(False))
+
     def flank(self, node: N.Flank, domain: Column | None, gate: Column | None) -> Column:
         found = self.catalog.members(node.operand.name, node.operand.span)
         kinds = {f.type for f in found}
@@ -267,7 +335,7 @@ class Compiler:
             case _:
                 return None
         out = F.lit(False)
-        for p in sorted(owners):
+        for p in sorted({self.layout.carriers.get(p, p) for p in owners}):
             out = out | F.coalesce(F.array_contains(protocols, p), F.lit(False))
         return out
 
@@ -276,7 +344,20 @@ def compile_filter(text: str, layout: Layout, short_circuit: bool = False) -> Fi
     """short_circuit: flanks don't see packets that what stands before them decides."""
     node = parse(text)
     c = Compiler(layout, short_circuit)
-    return Filter(text, node, c.compile(node), c.flanks, c.implied(node))
+    column = c.compile(node)
+    return Filter(text, node, column, c.flanks, c.implied(node), c.tree_used)
+
+
+def compile_observer(text: str, layout: Layout) -> Filter:
+    """A filter that needs no tree and follows one thing at most: scopes and further flanks are refused."""
+    node = parse(text)
+    for x in N.walk(node):
+        if isinstance(x, N.Scope):
+            raise FilterError("a scope needs the tree", x.span)
+    f = compile_filter(text, layout)
+    if len(f.flanks) > 1:
+        raise FilterError("more than one flank")
+    return f
 
 
 def apply_filter(df: DataFrame, text: str, layout: Layout, short_circuit: bool = False, partition_by: list[str] | None = None) -> DataFrame:
@@ -287,7 +368,7 @@ def apply_filter(df: DataFrame, text: str, layout: Layout, short_circuit: bool =
     if isinstance(f.node, N.Const) and f.node.value:
         return df
     out = df
-    if any(isinstance(x, N.Scope) for x in N.walk(f.node)):
+    if f.tree_used:
         out = staged(out, **{layout.nodes: F.col(layout.nodes)})  # else the tree is built again at each of its uses, of which some are once a hit
     for call in f.flanks:
         out = add_flank(out, call, layout, partition_by or [])
@@ -296,9 +377,37 @@ def apply_filter(df: DataFrame, text: str, layout: Layout, short_circuit: bool =
     return out.filter(f.column).drop(*[c.column for c in f.flanks])
 
 
+OPERATORS = {
+    "text": ["!=", "<", "<=", "==", ">", ">=", "contains", "in", "matches"],
+    "value": ["!=", "<", "<=", "==", ">", ">=", "in"],
+}
+START = ["!", "$", "false", "flank(", "len(", "not", "true"]
+JOIN = ["&&", "||", "and", "or"]
+
+
 def completions(text: str, caret: int, catalog: Catalog) -> list[str]:
-    """Names that go on from what stands before the caret."""
+    """What may stand at the caret: names that go on from what stands before it, and where a value has just been named, the operators that it takes."""
     start = caret
     while start and (text[start - 1].isalnum() or text[start - 1] in "._"):
         start -= 1
-    return [n for n in catalog.names() if n.startswith(text[start:caret])]
+    word, before = text[start:caret], text[:start].rstrip()
+    if not word and before and before != text[:start]:  # a space after something whole
+        last = before
+        at = len(last)
+        while at and (last[at - 1].isalnum() or last[at - 1] in "._"):
+            at -= 1
+        name = last[at:]
+        if name in catalog.protocols or name in ("true", "false"):
+            return JOIN
+        if name in catalog.fields or name in catalog.aliases:
+            found = catalog.members(name)
+            kinds = {f.type for f in found}
+            if kinds == {FieldType.NONE}:
+                return JOIN
+            return OPERATORS["text" if kinds == {FieldType.STRING} else "value"] + JOIN
+        if last[-1] in ")}\"" or last[-1].isdigit():
+            return JOIN
+        if last[-1] in "=<>":
+            return []
+    names = [n for n in catalog.names() if n.startswith(word)]
+    return names if word else START + names if not before or before[-1] in "(!&|{" or before.split()[-1] in ("and", "or", "not") else names

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelake.catalog import Catalog
 from framelake.functions.stage import staged
 from framelake.functions.text import EPOCH
-from framelake.plans.compiler import Layout
+from framelake.plans.compiler import Container, Layout
 from framelake.types import NODE_TYPES, FieldType
 
 
@@ -16,6 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few: what follows costs more than an exchange of the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def nanos(ts: str) -> Column:
     """Of a timestamp without a zone; microseconds are its precision."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}) * 1000")
@@ -68,7 +74,8 @@ def orders_layout() -> Layout:
     c.add("order.key", FieldType.U64, ui_name="Key").add("order.price", FieldType.F64, ui_name="Total price").add("order.status", FieldType.STRING, ui_name="Status")
     c.add("line.qty", FieldType.F64, ui_name="Quantity").add("line.price", FieldType.F64, ui_name="Price").add("line.flag", FieldType.STRING, ui_name="Flag").add("line.shipdate", FieldType.TIMESTAMP, ui_name="Ship date").add("line.returned", FieldType.BOOL, ui_name="Returned")
     c.alias("any.price", ["order.price", "line.price"])
-    return Layout(c.build(), {f: f for f in c.fields}, nodes="nodes")
+    members = {"line.qty": "l_quantity", "line.price": "l_extendedprice", "line.flag": "l_returnflag", "line.shipdate": "shipdate_ns", "line.returned": "returned"}
+    return Layout(c.build(), {f: f for f in c.fields}, nodes="nodes", containers={"order": Container(None), "line": Container("lines", members)})
 
 
 LINE_FIELDS = 5
@@ -76,7 +83,7 @@ LINE_FIELDS = 5
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exchange of each table, on the order's key. Lines are ordered by all their columns, so that ties are identical."""
-    line = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")])
+    line = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")], F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, l_shipdate) * 1000").alias("shipdate_ns"), (F.col("l_returnflag") == "R").alias("returned"))
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), line.alias("line")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     o = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("lines", F.coalesce("lines", F.array()))
     n = F.size("lines")
@@ -95,8 +102,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             node("line.qty", at + 1, at, 3, at + 1, f64=x["l_quantity"]),
             node("line.price", at + 2, at, 3, at + 2, f64=x["l_extendedprice"]),
             node("line.flag", at + 3, at, 3, at + 3, str=x["l_returnflag"]),
-            node("line.shipdate", at + 4, at, 3, at + 4, i64=F.timestamp_diff("MICROSECOND", F.expr(EPOCH), x["l_shipdate"]) * 1000),
-            node("line.returned", at + 5, at, 3, at + 5, bool=x["l_returnflag"] == "R"),
+            node("line.shipdate", at + 4, at, 3, at + 4, i64=x["shipdate_ns"]),
+            node("line.returned", at + 5, at, 3, at + 5, bool=x["returned"]),
         )
 
     return o.select(
@@ -106,11 +113,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("o_orderkey").alias("order.key"),
         F.array("o_totalprice").alias("order.price"),
         F.array("o_orderstatus").alias("order.status"),
-        F.transform("lines", lambda x: x["l_quantity"]).alias("line.qty"),
-        F.transform("lines", lambda x: x["l_extendedprice"]).alias("line.price"),
-        F.transform("lines", lambda x: x["l_returnflag"]).alias("line.flag"),
-        F.transform("lines", lambda x: F.timestamp_diff("MICROSECOND", F.expr(EPOCH), x["l_shipdate"]) * 1000).alias("line.shipdate"),
-        F.transform("lines", lambda x: x["l_returnflag"] == "R").alias("line.returned"),
+        F.col("lines.l_quantity").alias("line.qty"),
+        F.col("lines.l_extendedprice").alias("line.price"),
+        F.col("lines.l_returnflag").alias("line.flag"),
+        F.col("lines.shipdate_ns").alias("line.shipdate"),
+        F.col("lines.returned").alias("line.returned"),
+        "lines",
         F.concat(head, F.flatten(F.transform("lines", of_line))).alias("nodes"),
     )
 
@@ -156,7 +164,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     port = F.lit(0)
     for name, number in zip(EVENT_TYPES, (53, 80, 443, 5000, 5353), strict=True):
         port = F.when(F.col("event_type") == name, number).otherwise(port)
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.coalesce(F.col("props"), F.lit("")).cast("binary").alias("payload"), (1024 + user % 50000).alias("source"), port.alias("port"))
+    e = spread(read(spark, sf_dir, "events")).select("event_id", "user_id", "event_type", "ts", F.coalesce(F.col("props"), F.lit("")).cast("binary").alias("payload"), (1024 + user % 50000).alias("source"), port.alias("port"))
     payload, tcp = F.col("payload"), F.col("event_type") == "purchase"
     e = staged(e, segment=F.when(tcp, wire.tcp(F.col("source"), F.col("port"), eid * 100, F.lit(1), F.lit(0x18), payload)).otherwise(wire.udp(F.col("source"), F.col("port"), payload)))
     e = staged(e, packet=wire.ipv4(F.lit(0x0A000000) + user, F.lit(0xC0A80001), F.when(tcp, 6).otherwise(17), F.col("segment"), 64 - eid % 8, eid % 65536))
