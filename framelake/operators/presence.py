@@ -57,6 +57,10 @@ class Presence:
     def bounds(self) -> DataFrame:
         return self.ids.agg(F.min(self.key).alias("lo"), F.max(self.key).alias("hi"))
 
+    def contains(self, value: int) -> DataFrame:
+        """(there)"""
+        return self.ids.filter(F.col(self.key) == value).agg((F.count("*") > 0).alias("there"))
+
     def rank(self, value: int) -> DataFrame:
         """How many ids are at most value."""
         return self.ids.filter(F.col(self.key) <= value).agg(F.count("*").alias("n"))

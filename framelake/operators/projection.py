@@ -93,3 +93,12 @@ def children(df: DataFrame, layout: Layout, name: str) -> DataFrame:
     nodes = F.col(layout.nodes)
     pairs = F.flatten(F.transform(F.filter(nodes, lambda a: a["name"] == name), lambda a: F.transform(F.filter(nodes, lambda n: n["parent"] == a["node_id"]), lambda n: F.struct(a["node_id"].alias("anchor"), n["node_id"].alias("node_id"), n["name"].alias("name")))))
     return df.select(layout.packet_id, F.explode(pairs).alias("r")).select(layout.packet_id, "r.*")
+
+
+def byte_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """df with <column>_hex and <column>_base64 of columns of bytes (of arrays, the first)."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        v = F.try_element_at(F.col(f"`{c}`"), F.lit(1)) if kinds[c].startswith("array") else F.col(f"`{c}`")
+        df = df.withColumns({f"{c}_hex": F.hex(v), f"{c}_base64": F.base64(v)})
+    return df

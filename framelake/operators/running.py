@@ -10,6 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 1 << 18
+#: Buckets that a table is cut into at least, so that a small one is worked on by more than one task.
+SPREAD = 32
+
+
+def bucket_of(df: DataFrame, order: str) -> int:
+    """Ids to a bucket: BUCKET, or fewer where all ids would fall into a few; from the bounds of the order, which Parquet knows."""
+    lo, hi = df.agg(F.min(F.col(f"`{order}`")), F.max(F.col(f"`{order}`"))).first()
+    return BUCKET if lo is None else int(max(1, min(BUCKET, (hi - lo) // SPREAD + 1)))
+
+
+def summed(df: DataFrame, name: str, value: Column, order: str, bucket: int = BUCKET) -> DataFrame:
+    """df with the sum of the values of the rows before each."""
+    slot = F.floor(F.col(f"`{order}`") / bucket)
+    rows = df.withColumn("__slot", slot).withColumn("__value", value)
+    ends = rows.groupBy("__slot").agg(F.sum("__value").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(F.col("__slot").alias("__s"), before.alias("__before"))
+    inner = F.coalesce(F.sum("__value").over(Window.partitionBy("__slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__inner", inner).join(ends, F.col("__slot") == F.col("__s")).withColumn(name, F.col("__before") + F.col("__inner")).drop("__slot", "__value", "__s", "__before", "__inner")
 
 
 def carried(df: DataFrame, name: str, value: Column, order: str, partition_by: list[str], how: str = "last", inclusive: bool = False, bucket: int = BUCKET) -> DataFrame:

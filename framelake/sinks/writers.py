@@ -4,88 +4,234 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from framelake.catalog import Field
 from framelake.functions import text as T
 from framelake.operators import projection
 from framelake.plans.compiler import Layout
-from framelake.types import FieldType
+from framelake.types import NODE_COLUMN, NODE_TYPES, FieldType, default_text
 
 CODECS = ("none", "snappy", "gzip", "brotli", "lz4", "zstd")
 LAYOUT_VERSION = 1
 
 
-def write_dataset(df: DataFrame, layout: Layout, path: str, names: Iterable[str] | None = None, occurrences: str = "all", hierarchy: bool = False, codec: str = "zstd", overwrite: bool = False) -> None:
-    """packets, a table for each field, catalog, protocols, export_info and, for trees, topology; each a Parquet folder."""
+def dataset_rows(df: DataFrame, layout: Layout, names: Iterable[str] | None = None, occurrences: str = "all", hierarchy: bool = False, node_ids: bool = False) -> DataFrame:
+    """(table, packet_id, position, timestamp_ns, parent, name, and a column for each storage class): what all tables of a dataset hold, in one pass over the packets.
+
+    table: `packets`, `topology` for trees, or a field's name. position: the occurrence, or with node_ids the node's id.
+    """
+    fields = {f.name: f for f in _fields(layout, names)}
+    classes = [(k, t) for k, t in NODE_TYPES.items()]
+
+    def row(table: Column, position: Column, value: Column | None = None, kind: str = "", **more: Column) -> Column:
+        members = {"table": table, "position": position.cast("int"), "timestamp_ns": F.lit(None).cast("bigint"), "parent": F.lit(None).cast("int"), "name": F.lit(None).cast("string"), **{k: F.lit(None).cast(t) for k, t in classes}, **more}
+        if value is not None:
+            members[kind] = value.cast(NODE_TYPES[kind])
+        return F.struct(*[c.alias(k) for k, c in members.items()])
+
+    parts = [F.array(row(F.lit("packets"), F.lit(0), timestamp_ns=F.col(layout.timestamp)))]
+    if hierarchy:
+        nodes = F.col(layout.nodes)
+        parts.append(F.transform(nodes, lambda n: row(F.lit("topology"), n["node_id"], parent=n["parent"], name=n["name"])))
+    if hierarchy and node_ids:
+        valued = F.filter(F.col(layout.nodes), lambda n: n["name"].isin(list(fields)))
+        parts.append(F.transform(valued, lambda n: row(n["name"], n["node_id"], **{k: n[k] for k, _ in classes})))
+    else:
+        for f in fields.values():
+            values = F.col(f"`{layout.columns[f.name]}`")
+            if occurrences != "all":
+                values = F.slice(values, 1 if occurrences == "first" else -1, 1)
+            parts.append(_rows_of(values, f, row))
+    return df.select(F.col(layout.packet_id).alias("packet_id"), F.explode(F.concat(*parts)).alias("r")).select("r.table", "packet_id", "r.position", "r.timestamp_ns", "r.parent", "r.name", *[f"r.{k}" for k, _ in classes])
+
+
+def _rows_of(values: Column, f: Field, row) -> Column:
+    return F.transform(values, lambda v, i: row(F.lit(f.name), i, v, NODE_COLUMN[f.type]))
+
+
+def _fields(layout: Layout, names: Iterable[str] | None) -> list[Field]:
+    return layout.catalog.select(names) if names is not None else [f for f in layout.catalog.fields.values() if f.type != FieldType.NONE and f.name in layout.columns]
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_dataset(df: DataFrame, layout: Layout, path: str, names: Iterable[str] | None = None, occurrences: str = "all", hierarchy: bool = False, codec: str = "zstd", overwrite: bool = False, buffers: Iterable[str] = (), node_ids: bool = False) -> None:
+    """packets, a table for each field, catalog, protocols, export_info and, for trees, topology; each a Parquet folder.
+
+    The packets are read once: their rows are written by table beside the dataset, and each table is made from its own
+    part. The dataset is put together under another name and moved to its place when it is whole. packets
+    has info and frame_bytes where df has `packet.info` and `frame.data`; buffers: columns of further bytes, for packet_buffers;
+    node_ids: the rows of a tree's fields have their node's id, which topology has too, instead of their occurrence.
+    """
     if codec not in CODECS:
         raise ValueError(f"codec is one of {', '.join(CODECS)}")
-    mode = "overwrite" if overwrite else "errorifexists"
-    spark = df.sparkSession
-    fields = layout.catalog.select(names) if names is not None else [f for f in layout.catalog.fields.values() if f.type != FieldType.NONE and f.name in layout.columns]
+    spark, names = df.sparkSession, list(names) if names is not None else None
+    fs, place = _folder(spark, path)
+    if fs.exists(place) and not overwrite:
+        raise FileExistsError(f"{path} exists already")
+    fields = _fields(layout, names)
+    made = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows_at = f"{made}/_rows"
 
     def put(table: DataFrame, name: str) -> None:
-        table.write.mode(mode).option("compression", codec).parquet(os.path.join(path, name))
-
-    put(df.select(F.col(layout.packet_id).alias("packet_id"), F.col(layout.timestamp).alias("timestamp_ns")), "packets")
+        table.write.option("compression", codec).parquet(f"{made}/{name}")
+
+    dataset_rows(df, layout, names, occurrences, hierarchy, node_ids).withColumn("part", F.regexp_replace("table", "[^A-Za-z0-9_]", "_")).write.partitionBy("part").parquet(rows_at)
+    rows = spark.read.parquet(rows_at)
+    of = lambda table: rows.filter(F.col("part") == re.sub("[^A-Za-z0-9_]", "_", table)).filter(F.col("table") == table)
+    packets = of("packets").select("packet_id", "timestamp_ns")
+    extra = {"info": "packet.info", "frame_bytes": "frame.data"}
+    there = {k: c for k, c in extra.items() if c in df.columns}
+    if there:
+        packets = packets.join(df.select(F.col(layout.packet_id).alias("packet_id"), *[F.try_element_at(F.col(f"`{c}`"), F.lit(1)).alias(k) for k, c in there.items()]), "packet_id")
+    put(packets, "packets")
     for f in fields:
-        put(projection.field_table(df, layout, f.name, occurrences), f"field_{layout.catalog.field_id(f.name)}")
+        put(of(f.name).select("packet_id", F.col("position").alias("node_id" if hierarchy and node_ids else "occurrence"), F.col(NODE_COLUMN[f.type]).alias("value")), f"field_{layout.catalog.field_id(f.name)}")
     put(layout.catalog.frame(spark), "catalog")
     put(layout.catalog.protocol_frame(spark), "protocols")
     if hierarchy:
-        put(projection.node_rows(df, layout).select("packet_id", "node_id", "name", F.col("parent").alias("parent_node_id")), "topology")
+        put(of("topology").select("packet_id", F.col("position").alias("node_id"), "name", F.col("parent").alias("parent_node_id")), "topology")
+    buffers = list(buffers)
+    if buffers:
+        each = F.array(*[F.struct(F.lit(i + 1).alias("buffer_index"), F.try_element_at(F.col(f"`{c}`"), F.lit(1)).cast("binary").alias("bytes")) for i, c in enumerate(buffers)])
+        put(df.select(F.col(layout.packet_id).alias("packet_id"), F.inline(F.filter(each, lambda x: x["bytes"].isNotNull()))), "packet_buffers")
     info = {"shape": "hierarchy" if hierarchy else "selected" if names is not None else "all", "fields": ",".join(f.name for f in fields), "occurrences": occurrences, "layout_version": str(LAYOUT_VERSION)}
     put(spark.createDataFrame(list(info.items()), "key string, value string"), "export_info")
+    fs.delete(_folder(spark, rows_at)[1], True)
+    if fs.exists(place):
+        fs.delete(place, True)
+    if not fs.rename(_folder(spark, made)[1], place):
+        raise OSError(f"{made} can't be moved to {path}")
+
+
+def write_duckdb(dataset: str, file: str) -> None:
+    """The tables of a dataset on a mounted folder, as one DuckDB file."""
+    import duckdb
+
+    with duckdb.connect(file) as con:
+        for name in sorted(os.listdir(dataset)):
+            if os.path.isdir(os.path.join(dataset, name)):
+                con.execute(f"create or replace table \"{name}\" as select * from read_parquet('{os.path.join(dataset, name)}/*.parquet')")
+
+
+def csv_rows(df: DataFrame, layout: Layout, info: str | None = None, data: str | None = None) -> DataFrame:
+    """No., Time, Info, and for a column of bytes Length and Bytes: text that could be a formula is guarded."""
+    first = lambda c: F.try_element_at(F.col(f"`{c}`"), F.lit(1)) if dict(df.dtypes)[c].startswith("array") else F.col(f"`{c}`")
+    shown = first(info).cast("string") if info else F.lit("")
+    more = [F.octet_length(first(data)).cast("bigint").alias("Length"), T.hex_pairs(first(data)).alias("Bytes")] if data else []
+    return df.select(F.col(layout.packet_id).alias("No."), T.iso_ns(F.col(layout.timestamp)).alias("Time"), T.formula_guard(shown).alias("Info"), *more)
+
+
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    inner = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(inner, F.lit(2), F.length(inner) - 2))
 
 
-def csv_rows(df: DataFrame, layout: Layout, info: str | None = None) -> DataFrame:
-    """No., Time, Info: text that could be a formula is guarded."""
-    shown = F.col(info) if info else F.lit("")
-    return df.select(F.col(layout.packet_id).alias("No."), T.iso_ns(F.col(layout.timestamp)).alias("Time"), T.formula_guard(shown).alias("Info"))
+def json_trees(df: DataFrame, layout: Layout, keep: Iterable[str] | None = None, indent: bool = False) -> DataFrame:
+    """(packet_id, json): the tree of each packet, children inside their container, in order. keep: the leaves that are wanted.
 
+    Nodes come in pre-order, so that what stands between two of them follows from their depths alone.
+    """
+    wanted = list(keep) if keep is not None else None
+    nodes = F.col(layout.nodes)
+    if wanted is not None:
+        nodes = F.filter(nodes, lambda n: (n["stop"] > n["node_id"]) | n["name"].isin(wanted))
+    rows = df.select(F.col(layout.packet_id).alias("packet_id"), F.inline(F.array(F.struct(nodes.alias("n")))))
 
-def json_trees(df: DataFrame, layout: Layout) -> DataFrame:
-    """(packet_id, json): the tree of each packet, children inside their container, in order."""
+    def text(n: Column, i: Column) -> Column:
+        number = F.to_json(F.array(n["f64"]))
+        value = F.coalesce(_quoted(n["str"]), n["i64"].cast("string"), F.when(n["f64"].isNotNull(), F.substring(number, F.lit(2), F.length(number) - 2)), n["bool"].cast("string"), n["dec"].cast("string"), F.concat(F.lit('"'), F.lower(F.hex(n["bin"])), F.lit('"')))
+        before = F.get(F.col("n"), i - 1)["depth"]
+        between = F.when(i == 0, "").when(n["depth"] > before, ',"fields":[').otherwise(F.concat(F.lit("}"), F.repeat(F.lit("]}"), before - n["depth"]), F.lit(",")))
+        return F.concat(between, F.lit('{"name":'), _quoted(n["name"]), F.coalesce(F.concat(F.lit(',"value":'), value), F.lit("")))
 
+    last, first = F.try_element_at("n", F.lit(-1))["depth"], F.try_element_at("n", F.lit(1))["depth"]
+    end = F.when(F.size("n") > 0, F.concat(F.lit("}"), F.repeat(F.lit("]}"), last - first))).otherwise("")
+    out = rows.select("packet_id", F.concat(F.lit("["), F.array_join(F.transform("n", text), ""), end, F.lit("]")).alias("json"))
+    return out.withColumn("json", _pretty("json")) if indent else out
+
+
+def _pretty(column: str) -> Column:
     @F.pandas_udf("string")
-    def run(trees: pd.Series) -> pd.Series:
-        def one(nodes) -> str:
-            made, top = {}, []
-            for n in nodes:
-                value = next((n[k] for k in ("str", "i64", "f64", "bool", "dec", "bin") if n[k] is not None), None)
-                out = {"name": n["name"]}
-                if value is not None:
-                    out["value"] = bytes(value).hex() if isinstance(value, (bytes, bytearray)) else value if isinstance(value, (str, float, bool)) else int(value)
-                made[n["node_id"]] = out
-                if n["parent"] in made:
-                    made[n["parent"]].setdefault("fields", []).append(out)
-                else:
-                    top.append(out)
-            return json.dumps(top, ensure_ascii=False, separators=(",", ":"))
-
-        return trees.map(one)
-
-    return df.select(F.col(layout.packet_id).alias("packet_id"), run(F.col(layout.nodes)).alias("json"))
-
-
-def text_lines(df: DataFrame, layout: Layout) -> DataFrame:
-    """(packet_id, text): a display line for each node, indented by depth, control characters written out."""
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+
+    return run(F.col(column))
+
+
+def json_object(*members: Column) -> Column:
+    """One object of named columns; null members are left out."""
+    return F.to_json(F.struct(*members))
+
+
+def json_array(rows: DataFrame) -> DataFrame:
+    """(json): the lines of a JSON array with an element a packet, for a text sink; its order is that of packet ids, in as many files as there are partitions."""
+    return rows.orderBy("packet_id").select(F.concat(F.col("json"), F.lit(",")).alias("json"))
+
+
+def json_flat(df: DataFrame, layout: Layout, names: Iterable[str] | None = None) -> DataFrame:
+    """(packet_id, json): one object a packet, an array for each field; numbers and truth values as such, all else by its default text."""
+    plain = (FieldType.I64, FieldType.U64, FieldType.F64, FieldType.BOOL, FieldType.STRING)
+
+    def member(f: Field) -> Column:
+        c = F.col(f"`{layout.columns[f.name]}`")
+        return (c if f.type in plain else F.transform(c, lambda v: default_text(v, f.type))).alias(f.name)
+
+    return df.select(F.col(layout.packet_id).alias("packet_id"), json_object(*[member(f) for f in _fields(layout, names)]).alias("json"))
+
+
+def text_lines(df: DataFrame, layout: Layout, most_chars: int | None = None) -> DataFrame:
+    """(packet_id, text): a display line for each node, indented by depth, control characters written out. most_chars: longer values end in an ellipsis."""
     ui = F.create_map(*[x for f in layout.catalog.fields.values() for x in (F.lit(f.name), F.lit(f.ui_name))], *[x for p, u in layout.catalog.protocols.items() for x in (F.lit(p), F.lit(u))])
 
     def line(n):
-        value = projection.node_text(n, layout)
+        value = _cut(projection.node_text(n, layout), most_chars)
         name = F.coalesce(F.try_element_at(ui, n["name"]), n["name"])
         return F.concat(F.repeat(F.lit("  "), n["depth"] - 1), name, F.coalesce(F.concat(F.lit(": "), T.escape_line(value)), F.lit("")))
 
     return df.select(F.col(layout.packet_id).alias("packet_id"), F.array_join(F.transform(layout.nodes, line), "\n").alias("text"))
 
 
+def _cut(text: Column, most_chars: int | None) -> Column:
+    return text if most_chars is None else F.when(F.length(text) > most_chars, F.concat(F.substring(text, 1, most_chars), F.lit("…"))).otherwise(text)
+
+
+def text_flat(df: DataFrame, layout: Layout, names: Iterable[str] | None = None, most_chars: int | None = None) -> DataFrame:
+    """(packet_id, text): the lines of layouts without a tree: a heading for each protocol, below it its fields."""
+    parts: list[Column] = []
+    fields = _fields(layout, names)
+    for protocol in dict.fromkeys(f.protocol for f in fields):
+        own = [f for f in fields if f.protocol == protocol]
+        lines = [_lines_of(layout, f, most_chars) for f in own]
+        some = sum((F.size(F.col(f"`{layout.columns[f.name]}`")) for f in own), F.lit(0)) > 0
+        parts.append(F.when(some, F.concat(F.array(F.lit(layout.catalog.protocols[protocol])), *lines)).otherwise(F.array().cast("array<string>")))
+    return df.select(F.col(layout.packet_id).alias("packet_id"), F.array_join(F.concat(*parts), "\n").alias("text"))
+
+
+def _lines_of(layout: Layout, f: Field, most_chars: int | None) -> Column:
+    return F.transform(F.col(f"`{layout.columns[f.name]}`"), lambda v: F.concat(F.lit(f"  {f.ui_name}: "), T.escape_line(_cut(default_text(v, f.type), most_chars))))
+
+
+def text_summary(df: DataFrame, layout: Layout, info: str | None = None) -> DataFrame:
+    """(packet_id, text): one line a packet: its id, time, layers and, where there is one, its info."""
+    more = [F.concat(F.lit(" "), T.escape_line(F.try_element_at(F.col(f"`{info}`"), F.lit(1))))] if info else []
+    return df.select(F.col(layout.packet_id).alias("packet_id"), F.concat(F.col(layout.packet_id).cast("string"), F.lit(" "), T.iso_ns(F.col(layout.timestamp)), F.lit(" "), F.array_join(layout.protocols, "/"), *more).alias("text"))
+
+
 # capture files
 
 

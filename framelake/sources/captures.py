@@ -1,12 +1,17 @@
 """Capture files as frames: (source, frame_id, timestamp_ns, link_type, interface_id, data).
 
 Files are read with Spark's own binary reader, wherever they are stored, one task a file; the
-`capture` data source reads files on a mounted folder without loading them whole, and streams.
+`capture` data source reads files on a mounted folder without loading them whole, splits PCAP and
+PCAPNG files at block boundaries that a pass over their headers finds, and streams.
+
+A fault ends a file, or, where the format has a mark to look for, what stands before the next mark;
+read with faults it is a row of its own, with its text in `error` and no data.
 """
 
 from __future__ import annotations
 
 import io
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,7 +24,7 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "frame_id bigint, timestamp_ns bigint, link_type int, interface_id int, data binary"
 Frame = tuple[int, int, int, bytes]  # time, link type, interface, bytes
-LINK_ETHERNET, LINK_SOCKETCAN = 1, 227
+LINK_ETHERNET, LINK_SOCKETCAN, LINK_LIN, LINK_FLEXRAY = 1, 227, 212, 210
 
 
 class CaptureError(ValueError):
@@ -35,16 +40,27 @@ def _exactly(f: BinaryIO, n: int) -> bytes | None:
     return data
 
 
-def pcap(f: BinaryIO) -> Iterator[Frame]:
+ORDERS = {b"\xa1\xb2\xc3\xd4": (">", 1000), b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1)}
+
+
+def _pcap_head(f: BinaryIO) -> tuple[str, int, int] | None:
+    """(byte order, nanoseconds of a unit, link type)"""
     head = _exactly(f, 24)
     if head is None:
-        return
-    orders = {b"\xa1\xb2\xc3\xd4": (">", 1000), b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1)}
-    if head[:4] not in orders:
+        return None
+    if head[:4] not in ORDERS:
         raise CaptureError("not a pcap file")
-    order, unit = orders[head[:4]]
-    link = struct.unpack(order + "I", head[20:])[0] & 0xFFFF
-    while (h := _exactly(f, 16)) is not None:
+    order, unit = ORDERS[head[:4]]
+    return order, unit, struct.unpack(order + "I", head[20:])[0] & 0xFFFF
+
+
+def pcap(f: BinaryIO, state: tuple | None = None, stop: int | None = None) -> Iterator[Frame]:
+    """state: the head, for a part of a file from where f stands up to the place `stop`."""
+    state = state or _pcap_head(f)
+    if state is None:
+        return
+    order, unit, link = state
+    while (stop is None or f.tell() < stop) and (h := _exactly(f, 16)) is not None:
         seconds, part, size, _ = struct.unpack(order + "IIII", h)
         data = _exactly(f, size) if size else b""
         if data is None:
@@ -52,15 +68,28 @@ def pcap(f: BinaryIO) -> Iterator[Frame]:
         yield seconds * 10**9 + part * unit, link, 0, data
 
 
-def pcapng(f: BinaryIO) -> Iterator[Frame]:
-    order, faces = "<", []
-    while (h := _exactly(f, 8)) is not None:
+def _interface(order: str, body: bytes) -> tuple[int, int, int]:
+    """(link type, units a second, seconds to add) of an interface block."""
+    link, at, res, off = struct.unpack(order + "H", body[:2])[0], 8, 10**6, 0
+    while at + 4 <= len(body) - 4:
+        code, n = struct.unpack(order + "HH", body[at : at + 4])
+        value = body[at + 4 : at + 4 + n]
+        if code == 0:
+            break
+        if code == 9 and n:
+            res = 2 ** (value[0] & 127) if value[0] & 128 else 10 ** value[0]
+        if code == 14 and n == 8:
+            (off,) = struct.unpack(order + "q", value)
+        at += 4 + n + -n % 4
+    return link, res, off
+
+
+def pcapng(f: BinaryIO, state: tuple | None = None, stop: int | None = None) -> Iterator[Frame]:
+    """state: byte order and interfaces, as in pcap()."""
+    order, faces = (state[0], list(state[1])) if state else ("<", [])
+    while (stop is None or f.tell() < stop) and (h := _exactly(f, 8)) is not None:
         if h[:4] == b"\x0a\x0d\x0d\x0a":
-            magic = _exactly(f, 4)
-            order = "<" if magic == b"\x4d\x3c\x2b\x1a" else ">"
-            faces = []
-            (size,) = struct.unpack(order + "I", h[4:])
-            _exactly(f, size - 12)
+            order, faces = _section(f, h), []
             continue
         kind, size = struct.unpack(order + "II", h)
         if size < 12 or size % 4:
@@ -68,19 +97,8 @@ def pcapng(f: BinaryIO) -> Iterator[Frame]:
         body = _exactly(f, size - 8)
         if body is None:
             raise CaptureError("cut off")
-        if kind == 1:  # an interface: link type, and its clock's resolution and offset among the options
-            link, at, res, off = struct.unpack(order + "H", body[:2])[0], 8, 10**6, 0
-            while at + 4 <= len(body) - 4:
-                code, n = struct.unpack(order + "HH", body[at : at + 4])
-                value = body[at + 4 : at + 4 + n]
-                if code == 0:
-                    break
-                if code == 9 and n:
-                    res = 2 ** (value[0] & 127) if value[0] & 128 else 10 ** value[0]
-                if code == 14 and n == 8:
-                    (off,) = struct.unpack(order + "q", value)
-                at += 4 + n + -n % 4
-            faces.append((link, res, off))
+        if kind == 1:
+            faces.append(_interface(order, body))
         elif kind == 6:
             face, high, low, n = struct.unpack(order + "IIII", body[:16])
             if face >= len(faces):
@@ -92,6 +110,63 @@ def pcapng(f: BinaryIO) -> Iterator[Frame]:
             yield 0, faces[0][0], 0, body[4 : 4 + min(n, len(body) - 8)]
 
 
+def _section(f: BinaryIO, head: bytes) -> str:
+    """The byte order of a section, whose head is passed over."""
+    magic = _exactly(f, 4)
+    order = "<" if magic == b"\x4d\x3c\x2b\x1a" else ">"
+    (size,) = struct.unpack(order + "I", head[4:])
+    if size < 28 or _exactly(f, size - 12) is None:
+        raise CaptureError("bad section")
+    return order
+
+
+Split = tuple[int, int, int, tuple]  # start, stop, number of the first frame, state
+
+
+def splits(f: BinaryIO, kind: str, size: int) -> list[Split]:
+    """Parts of a PCAP or PCAPNG file of about `size` bytes, whole blocks each. Only headers are read; a fault ends the last part, whose reader meets it again."""
+    f.seek(0, os.SEEK_END)
+    end = f.tell()
+    f.seek(0)
+    out: list[Split] = []
+    state = _pcap_head(f) if kind == "pcap" else ("<", ())
+    if state is None:
+        return []
+    start, first, n = f.tell(), 0, 0
+    opened = state
+    while f.tell() < end:
+        at = f.tell()
+        if at - start >= size:
+            out.append((start, at, first, opened))
+            start, first, opened = at, n, state
+        h = f.read(16 if kind == "pcap" else 8)
+        if len(h) < (16 if kind == "pcap" else 8):
+            break
+        if kind == "pcap":
+            f.seek(struct.unpack(state[0] + "I", h[8:12])[0], os.SEEK_CUR)
+            n += 1
+            continue
+        if h[:4] == b"\x0a\x0d\x0d\x0a":
+            try:
+                state = (_section(f, h), ())
+            except CaptureError:
+                break
+            continue
+        block, length = struct.unpack(state[0] + "II", h)
+        if length < 12 or length % 4:
+            break
+        if block == 1:
+            body = f.read(length - 8)
+            if len(body) < length - 8:
+                break
+            state = (state[0], (*state[1], _interface(state[0], body)))
+        else:
+            f.seek(length - 8, os.SEEK_CUR)
+            n += block == 6 or (block == 3 and bool(state[1]))
+    out.append((start, end, first, opened))
+    return out
+
+
 def _can(ident: int, data: bytes) -> bytes:
     return struct.pack(">IB3x", ident, len(data)) + data
 
@@ -101,14 +176,30 @@ def can_fd(ident: int, data: bytes, brs: bool, esi: bool) -> bytes:
     return struct.pack(">IBB2x", ident, len(data), 4 | brs | esi << 1) + data
 
 
-def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
-    """CAN, CAN FD and Ethernet objects, in containers or plain. most: bytes that a container may unpack to."""
-    head = _exactly(f, 8)
-    if head is None:
-        return
-    if head[:4] != b"LOGG":
-        raise CaptureError("not a BLF file")
-    _exactly(f, struct.unpack("<I", head[4:])[0] - 8)
+def lin_frame(ident: int, data: bytes) -> bytes:
+    """A LIN frame with its protected id and enhanced checksum."""
+    from framelake.dissect.app import lin_checksum, lin_parity
+
+    pid = ident & 63 | lin_parity(ident & 63) << 6
+    return struct.pack(">B3xBBBB", 1, len(data) << 4 | 2, pid, lin_checksum(data, pid), 0) + data
+
+
+def flexray_frame(ident: int, cycle: int, crc: int, data: bytes, b: bool = False) -> bytes:
+    """Channel, no errors, the five bytes of the bus header and the payload."""
+    words = (len(data) + 1) // 2
+    head = 1 << 37 | (ident & 0x7FF) << 24 | words << 17 | (crc & 0x7FF) << 6 | cycle & 63
+    return struct.pack(">BB", 128 if b else 0, 0) + head.to_bytes(5, "big") + data.ljust(2 * words, b"\0")
+
+
+def blf(f: BinaryIO, most: int = 1 << 28, resumed: bool = False) -> Iterator[Frame]:
+    """CAN, CAN FD, LIN, FlexRay and Ethernet objects, in containers or plain. most: bytes that a container may unpack to; resumed: f stands at an object."""
+    if not resumed:
+        head = _exactly(f, 8)
+        if head is None:
+            return
+        if head[:4] != b"LOGG":
+            raise CaptureError("not a BLF file")
+        _exactly(f, struct.unpack("<I", head[4:])[0] - 8)
     rest = b""
 
     def objects(data: bytes) -> tuple[list[Frame], bytes]:
@@ -120,7 +211,7 @@ def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
             hsize, _, size, kind = struct.unpack("<HHII", data[at + 4 : at + 16])
             if at + size > len(data):
                 break
-            if hsize >= 32 and kind in (1, 86, 100, 101, 71):
+            if hsize >= 32 and kind in (1, 86, 100, 101, 71, 11, 50):
                 flags, _, _, stamp = struct.unpack("<IHHQ", data[at + 16 : at + 32])
                 time = stamp * 10_000 if flags == 1 else stamp
                 body = data[at + hsize : at + size]
@@ -128,6 +219,12 @@ def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
                     src, channel, dst, _, etype, tpid, tci, n = struct.unpack("<6sH6sHHHHH", body[:24])
                     tag = struct.pack(">HH", tpid, tci) if tpid else b""
                     out.append((time, LINK_ETHERNET, channel, dst + src + tag + struct.pack(">H", etype) + body[32 : 32 + n]))
+                elif kind == 11:  # LIN: channel, id, length, then the bytes
+                    channel, ident, n = struct.unpack("<HBB", body[:4])
+                    out.append((time, LINK_LIN, channel, lin_frame(ident, body[4 : 4 + min(n, 8)])))
+                elif kind == 50:  # FlexRay: channel, .., frame id, header CRC, .., cycle, .., length, .., bytes
+                    channel, mask, _, _, _, ident, crc, size, n, cycle = struct.unpack("<HBBIIHHHHB", body[:21])
+                    out.append((time, LINK_FLEXRAY, channel, flexray_frame(ident, cycle, crc, body[40 : 40 + min(n, 254)], mask == 2)))
                 elif kind == 101:
                     channel, _, n, _, ident, _, bits = struct.unpack("<BBBBIII", body[:16])
                     value = body[40 : 40 + n]
@@ -145,6 +242,8 @@ def blf(f: BinaryIO, most: int = 1 << 28) -> Iterator[Frame]:
     while (h := _exactly(f, 16)) is not None:
         if h[:4] != b"LOBJ":
             raise CaptureError("bad object")
+        if struct.unpack("<I", h[8:12])[0] < 16:
+            raise CaptureError("bad length")
         hsize, _, size, kind = struct.unpack("<HHII", h[4:])
         body = f.read(size - 16)
         f.read(size % 4)
@@ -212,43 +311,78 @@ def detect(head: bytes) -> str:
     return "asc"
 
 
-def parse(data: BinaryIO, kind: str | None = None, tolerant: bool = True) -> Iterator[Frame]:
-    """tolerant: what follows a fault is left out, else the fault is raised."""
+def parse(data: BinaryIO, kind: str | None = None, tolerant: bool = True, on_fault: Callable[[str], None] | None = None, **part: object) -> Iterator[Frame]:
+    """tolerant: what follows a fault is left out, up to the next mark of an object in BLF files, and on_fault is told; else the fault is raised. part: state and stop, for a part of a file."""
     if kind is None:
         head = data.read(4)
         kind = detect(head)
         data.seek(0)
-    try:
-        yield from FORMATS[kind](data)
-    except (CaptureError, struct.error, zlib.error, ValueError):
-        if not tolerant:
-            raise
-
-
-def read_captures(spark: SparkSession, path: str, kind: str | None = None, tolerant: bool = True) -> DataFrame:
-    """(source, and SCHEMA) of the files of a path; frame ids count from 0 in each."""
+    while True:
+        try:
+            yield from FORMATS[kind](data, **part)
+            return
+        except (CaptureError, struct.error, zlib.error, ValueError) as e:
+            if not tolerant:
+                raise
+            if on_fault:
+                on_fault(f"{kind}: {e}" + ("" if data.closed else f" (before byte {data.tell()})"))
+            if kind != "blf" or data.closed or not _next_object(data):
+                return
+            part = {"resumed": True}
+
+
+def _next_object(f: BinaryIO, chunk: int = 1 << 16) -> bool:
+    """Puts f at the next mark of an object, if there is one."""
+    kept = b""
+    while block := f.read(chunk):
+        both = kept + block
+        at = both.find(b"LOBJ")
+        if at >= 0:
+            f.seek(at - len(both), os.SEEK_CUR)
+            return True
+        kept = both[-3:]
+    return False
+
+
+def _numbered(f: BinaryIO, kind: str | None, tolerant: bool, faults: bool, first: int = 0, **part: object) -> Iterator[tuple]:
+    """(frame_id, time, link type, interface, data) and, with faults, error; a fault is a row without data."""
+    met: list[str] = []
+    n = first
+    for frame in parse(f, kind, tolerant, met.append, **part):
+        for text in met if faults else ():
+            yield n, 0, -1, 0, None, text
+        met.clear()
+        yield (n, *frame, None) if faults else (n, *frame)
+        n += 1
+    for text in met if faults else ():
+        yield n, 0, -1, 0, None, text
+
+
+def read_captures(spark: SparkSession, path: str, kind: str | None = None, tolerant: bool = True, faults: bool = False) -> DataFrame:
+    """(source, SCHEMA and, with faults, error) of the files of a path; frame ids count from 0 in each."""
+    columns = [*_COLUMNS, "error"] if faults else _COLUMNS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows = []
-                for i, frame in enumerate(parse(io.BytesIO(content), kind, tolerant)):
-                    rows.append((path, i, *frame))
+                for row in _numbered(io.BytesIO(content), kind, tolerant, faults):
+                    rows.append((path, *row))
                     if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                yield pd.DataFrame(rows, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"source string, {SCHEMA}")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"source string, {SCHEMA}" + (", error string" if faults else ""))
 
 
 _COLUMNS = ["source", "frame_id", "timestamp_ns", "link_type", "interface_id", "data"]
 
 
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: str | None, split: Split | None = None) -> None:
         super().__init__(path)
-        self.path = path
+        self.path, self.kind, self.split = path, kind, split
 
 
 class _Reader(DataSourceReader):
@@ -258,12 +392,27 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         import glob
 
-        return [_File(p) for p in sorted(glob.glob(self.options["path"]))]
+        most, out = int(self.options.get("splitBytes", 1 << 27)), []
+        for path in sorted(glob.glob(self.options["path"])):
+            with open(path, "rb") as f:
+                kind = self.options.get("format") or detect(f.read(4))
+                if kind in ("pcap", "pcapng") and os.path.getsize(path) > most:
+                    out += [_File(path, kind, s) for s in splits(f, kind, most)]
+                else:
+                    out.append(_File(path, kind))
+        return out
 
     def read(self, partition: _File):
+        tolerant, faults = self.options.get("mode", "PERMISSIVE").upper() == "PERMISSIVE", self.options.get("faults", "false").lower() == "true"
         with open(partition.path, "rb") as f:
-            for i, frame in enumerate(parse(f, self.options.get("format"), self.options.get("mode", "PERMISSIVE").upper() == "PERMISSIVE")):
-                yield (partition.path, i, *frame)
+            part: dict = {}
+            first = 0
+            if partition.split:
+                start, stop, first, state = partition.split
+                f.seek(start)
+                part = {"state": state, "stop": stop}
+            for row in _numbered(f, partition.kind, tolerant, faults, first, **part):
+                yield (partition.path, *row)
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -276,7 +425,7 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"files": 0}
 
     def _rows(self, start: int, stop: int | None) -> tuple[Iterator[tuple], int]:
-        parts = _Reader(self.options).partitions()[start:stop]
+        parts = _Reader({**self.options, "splitBytes": str(1 << 62)}).partitions()[start:stop]
         return (row for p in parts for row in _Reader(self.options).read(p)), start + len(parts)
 
     def read(self, start: dict):
@@ -295,7 +444,7 @@ class CaptureSource(DataSource):
         return "capture"
 
     def schema(self) -> str:
-        return f"source string, {SCHEMA}"
+        return f"source string, {SCHEMA}" + (", error string" if self.options.get("faults", "false").lower() == "true" else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)

@@ -53,9 +53,12 @@ def _runner(call: FlankCall):
     flank, by = call.flank, delta_test(call.flank.by)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = pickle.loads(bytes(state.get[0])) if state.exists else None
+        saved, last = pickle.loads(bytes(state.get[0])) if state.exists else (None, None)
         pdf = pd.concat(list(batches)).sort_values("p")
         fired = []
+        if last is not None and len(pdf) and pdf["p"].iloc[0] <= last:
+            raise ValueError(f"packet {pdf['p'].iloc[0]} came after packet {last}")
+        last = int(pdf["p"].iloc[-1]) if len(pdf) else last
         if flank.armed:
             latch = Latch(flank.window, by)
             latch.arm, latch.next = saved or (None, None)
@@ -68,7 +71,7 @@ def _runner(call: FlankCall):
                 if saved is not None and _fires(flank, by, saved, (p, t, v, f, to)):
                     fired.append((p, t))
                 saved = p, t, v, f, to
-        state.update((pickle.dumps(saved),))
+        state.update((pickle.dumps((saved, last)),))
         yield pd.DataFrame([(key[0], p, t) for p, t in fired], columns=["k", "packet_id", "timestamp_ns"])
 
     return run
