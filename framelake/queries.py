@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from framelake import views
 from framelake.dissect import app, hpack, options, someip, wire
+from framelake.functions import signals
 from framelake.functions import text as T
 from framelake.functions import wire as W
 from framelake.operators import boundaries, merge, presence, projection, reassembly, series
 from framelake.plans.compiler import Layout, apply_filter
+from framelake.sinks import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -220,7 +222,7 @@ def csv_formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_packet", """select event_id as packet_id, '{"type":"' || event_type || '","user":' || user_id || ',"props":' || to_json(props)::varchar || '}' as json from events""")
 def json_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.read(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("packet_id"), F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"), "props")).alias("json"))
+    return e.select(F.col("event_id").alias("packet_id"), writers.json_object(F.col("event_type").alias("type"), F.col("user_id").alias("user"), F.col("props")).alias("json"))
 
 
 @query("display_rebuild", "select event_id as packet_id, 'Type: ' || event_type as line, 'User: ' || user_id as line2 from events")
@@ -336,16 +338,16 @@ query("wire_dispatch", "select event_id as packet_id, list_aggregate(list_concat
 )
 query("wire_checksum", "select event_id as packet_id, 'Good' as status from events")(lambda s, d: _firsts(_wire(s, d), status="ip.checksum.status"))
 query("wire_filter", f"select event_id as packet_id from events where event_type <> 'purchase' and ({_PORT}) in (53, 5353) and 64 - event_id % 8 < 62")(lambda s, d: apply_filter(_wire(s, d), "udp.port in {53, 5353} && ip.ttl < 62", wire.layout()).select("packet_id"))
-query("flt_slice", "select event_id as packet_id from events where user_id % 256 = 7")(lambda s, d: apply_filter(_wire(s, d), "eth.src[0:3] == 02:00:00 && eth.src[4:6] in {00:07, 01:07, 02:07, 03:07} && len(eth.src) == 6", wire.layout()).select("packet_id"))
+query("flt_slice", "select event_id as packet_id from events where user_id % 256 = 7")(lambda s, d: apply_filter(_wire(s, d), f"eth.src[0:3] == 02:00:00 && eth.src[4:6] in {{{', '.join(f'{i:02X}:07' for i in range(256))}}} && len(eth.src) == 6", wire.layout()).select("packet_id"))
 query("flt_mac_slice_never_equal", "select event_id as packet_id from events where false")(lambda s, d: apply_filter(_wire(s, d), "eth.dst[0:6] == 02:00:00:00:00:01", wire.layout()).select("packet_id"))
 query("flt_mac", "select event_id as packet_id from events")(lambda s, d: apply_filter(_wire(s, d), "eth.dst == 02:00:00:00:00:01", wire.layout()).select("packet_id"))
 query("flt_address_range", "select event_id as packet_id from events where user_id between 1 and 9")(lambda s, d: apply_filter(_wire(s, d), "ip.src in 10.0.0.1..10.0.0.9", wire.layout()).select("packet_id"))
 query("flt_alias_presence", "select event_id as packet_id from events where event_type <> 'purchase'")(lambda s, d: apply_filter(_wire(s, d), "udp.port && ip.addr && !tcp.port", wire.layout()).select("packet_id"))
 query("flt_address_families", "select event_id as packet_id from events")(lambda s, d: apply_filter(_wire(s, d), "ip.src < ::1 && !(ip.src == ::1) && ip.src != ::1", wire.layout()).select("packet_id"))
-query("frame_hex", "select event_id as packet_id, hex(props) as hex, octet_length(props::blob)::bigint as n from events where event_type = 'error'")(lambda s, d: apply_filter(_wire(s, d), "udp.dstport == 5353", wire.layout()).select("packet_id", F.hex("payload").alias("hex"), F.octet_length("payload").cast("bigint").alias("n")))
-query("frame_base64", "select event_id as packet_id, base64(props::blob) as b from events where event_type = 'error'")(lambda s, d: apply_filter(_wire(s, d), "udp.dstport == 5353", wire.layout()).select("packet_id", F.base64("payload").alias("b")))
-query("text_addresses", "select event_id as packet_id, '10.0.' || (user_id // 256) || '.' || (user_id % 256) as src, '02:00:00:00:' || lpad(upper(to_hex(user_id // 256)), 2, '0') || ':' || lpad(upper(to_hex(user_id % 256)), 2, '0') as mac, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' as time from events where user_id < 65536")(
-    lambda s, d: _firsts(_wire(s, d), src="ip.src", mac="eth.src", time="frame.time").filter("src < 167772160 + 65536").select("packet_id", T.ipv4(F.col("src")).alias("src"), T.mac(F.col("mac")).alias("mac"), T.iso_ns(F.col("time")).alias("time"))
+query("frame_hex", "select event_id as packet_id, hex(props) as hex, octet_length(props::blob)::bigint as n from events where event_type = 'error'")(lambda s, d: apply_filter(_wire(s, d), "udp.dstport == 5353", wire.layout()).transform(lambda df: projection.byte_columns(df, "payload")).select("packet_id", F.col("payload_hex").alias("hex"), F.octet_length("payload").cast("bigint").alias("n")))
+query("frame_base64", "select event_id as packet_id, base64(props::blob) as b from events where event_type = 'error'")(lambda s, d: apply_filter(_wire(s, d), "udp.dstport == 5353", wire.layout()).transform(lambda df: projection.byte_columns(df, "payload")).select("packet_id", F.col("payload_base64").alias("b")))
+query("text_addresses", "select event_id as packet_id, (10 + user_id // 16777216) || '.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) as src, '02:00:' || lpad(upper(to_hex(user_id // 16777216)), 2, '0') || ':' || lpad(upper(to_hex(user_id // 65536 % 256)), 2, '0') || ':' || lpad(upper(to_hex(user_id // 256 % 256)), 2, '0') || ':' || lpad(upper(to_hex(user_id % 256)), 2, '0') as mac, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' as time from events")(
+    lambda s, d: _firsts(_wire(s, d), src="ip.src", mac="eth.src", time="frame.time").select("packet_id", T.ipv4(F.col("src")).alias("src"), T.mac(F.col("mac")).alias("mac"), T.iso_ns(F.col("time")).alias("time"))
 )
 
 # signals in a payload of eight bytes
@@ -361,7 +363,7 @@ query("signal_be", f"select event_id as packet_id, ({_N} >> 4) & 4095 as v from
 query("signal_le", f"select event_id as packet_id, ((({_N} & 255) << 8) | (({_N} >> 8) & 255)) & 1023 as v from events")(lambda s, d: _signal(s, d).select("packet_id", W.signal_raw(F.col("p"), 48, 10).alias("v")))
 query("signal_physical", f"select event_id as packet_id, (({_N} & 255) * 0.5 - 40)::double as v from events")(lambda s, d: _signal(s, d).select("packet_id", W.signal_physical(W.signal_raw(F.col("p"), 56, 8), 0.5, -40).alias("v")))
 query("signal_enum", f"select event_id as packet_id, case {_N} & 3 when 0 then 'off' when 1 then 'on' when 2 then 'error' end as v from events")(
-    lambda s, d: _signal(s, d).select("packet_id", F.try_element_at(F.create_map(*[F.lit(x) for p in ((0, "off"), (1, "on"), (2, "error")) for x in p]), W.signal_raw(F.col("p"), 56, 2).cast("int")).alias("v"))
+    lambda s, d: signals.decode(_signal(s, d).withColumn("id", F.lit(1)), [signals.Message(1, "m", (signals.Signal("v", 56, 2, names={0: "off", 1: "on", 2: "error"}),))], payload="p").select("packet_id", F.try_element_at("shown", F.lit("v")).alias("v"))
 )
 
 # streams
@@ -375,10 +377,8 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("time_delta", "select event_id as packet_id, epoch_us(ts) * 1000 - lag(epoch_us(ts) * 1000) over (partition by user_id order by event_id) as delta_ns from events")
 def time_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = views.read(spark, sf_dir, "events").select(F.col("event_id").alias("packet_id"), "user_id", views.nanos("ts").alias("t"))
-    return e.select("packet_id", (F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("packet_id"))).alias("delta_ns"))
+    return reassembly.time_deltas(e, ["user_id"], "packet_id", "t").select("packet_id", "delta_ns")
 
 
 query("reassemble_concat", "select conv_id as conn_id, string_agg(text, '' order by turn) as data, count(*) as segments, 'complete' as state from conversations group by 1 having max(turn) = count(*) - 1 and min(turn) = 0")(
@@ -390,7 +390,10 @@ query("reassemble_gap", "select conv_id as conn_id, string_agg(text, '' order by
 query("pair_lifo", "select conv_id as conn_id, turn as request, case when next_role = 'assistant' then next_turn end as response from (select *, lead(turn) over w as next_turn, lead(role) over w as next_role from conversations where role in ('user', 'assistant') window w as (partition by conv_id order by turn)) where role = 'user'")(
     lambda s, d: reassembly.pair_latest(views.turns(s, d), ["conn_id"], "seq", F.col("role") == "user", F.col("role") == "assistant")
 )
-query("json_members", f"select event_id as packet_id, {K} as k from events")(lambda s, d: views.events(s, d).select("packet_id", projection.first(views.events_layout(), "event.props.k").alias("k")))
+query("json_members", f"select event_id as packet_id, {K} as k from events")(
+    lambda s, d: app.dissect(views.spread(views.read(s, d, "events")).select(F.col("event_id").alias("packet_id"), F.lit("json").alias("app"), F.coalesce("props", F.lit("{}")).cast("binary").alias("payload")), ["json", "json.key", "json.value.number"])
+    .groupBy("packet_id").agg(F.max(F.when(F.col("name") == "json.value.number", F.col("i64"))).alias("k"))
+)
 query("http_url", r"select page_id as packet_id, regexp_extract(url, '^[a-z]+://([^/?#]*)([^#]*)', 1) as host, regexp_extract(url, '^[a-z]+://([^/?#]*)([^#]*)', 2) as uri from pages")(lambda s, d: _firsts(views.pages(s, d), host="http.host", uri="http.uri"))
 
 
@@ -478,5 +481,8 @@ def http1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conn_id", "n", F.expr(r"substring(cast(data as string), instr(cast(data as string), '\r\n\r\n') + 4)").alias("body"))
 
 
+from framelake import packet_queries as _packet_queries  # noqa: E402, F401  it registers its queries here
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flt_and_or"](spark, sf_dir)
