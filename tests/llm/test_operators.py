@@ -618,3 +618,41 @@ def test_many_sources_mix(spark):
         check_mix(mixing.mix(docs_of(spark, docs)).collect(), docs)
     finally:
         mixing.BROADCAST_SOURCES = old
+
+
+def test_near_copies_by_similarity(spark):
+    """Against all pairs: nothing is joined that is less similar, and of the pairs at 0.8 or more nine in ten are found at least; one source has a large group of copies."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+
+    def edited(own, n):
+        own = list(own)
+        for _ in range(n):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        return own
+
+    texts = [prose(rng.randint(60, 400)) for _ in range(150)]
+    texts += [edited(t, max(1, round(len(t) * rng.choice([0.005, 0.01, 0.015, 0.02])))) for t in texts[:100]]
+    base = prose(120)
+    texts += [edited(base, 1) for _ in range(120)]
+    docs = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)] + [(900, None, "en", "a"), (901, "", "en", "a"), (902, "one two", "en", "a"), (902, "ONE  two", "en", "a"), (None, "no id at all here today", "en", "a")]
+    rows = simhash.near_copies(docs_of(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    comp = {r["doc_id"]: r["component_id"] for r in rows}
+    sets = {d[0]: simhash._grams(simhash._words(d[1]), 5) for d in docs}
+    ids = list(range(len(texts)))
+    close = [(a, b) for a in ids for b in ids[:a] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = root_components(ids, close)
+    assert all(want[comp[a]] == want[a] for a in ids)
+    planted = [(a, b) for a, b in close if a < 250]
+    assert len(planted) > 40 and sum(comp[a] == comp[b] for a, b in planted) >= 0.9 * len(planted) and len({comp[a] for a in ids[250:]}) == 1
+    assert (comp[900], comp[901], comp[902], comp[None]) == (900, 900, 902, None)
+    kept = sorted(r["doc_id"] for r in simhash.dedup_near(docs_of(spark, docs)).collect() if r["doc_id"] is not None)
+    assert kept == sorted([d for d in ids if comp[d] == d] + [900, 902, 902])
+    assert simhash.near_copies(docs_of(spark, [])).collect() == [] and simhash.dedup_near(docs_of(spark, docs)).columns == docs_of(spark, docs).columns
+
+
+def test_keys_grow_with_the_table():
+    few, many = simhash.posting_positions(1000), simhash.posting_positions(1 << 30)
+    assert {len(p) for p in few} == {3} and {len(p) for p in many} == {4} and len(many) > len(few)
