@@ -16,95 +16,94 @@ from pyspark.sql import functions as F
 
 from framelake.dissect.app import Malformed
 
-# The static table of RFC 7541, appendix A, from index 1. A line without "=" has no value.
+# The static table of RFC 7541, appendix A, from index 1.
 STATIC = [
-    tuple((line + "=").split("=")[:2])
-    for line in """:authority
-:method=GET
-:method=POST
-:path=/
-:path=/index.html
-:scheme=http
-:scheme=https
-:status=200
-:status=204
-:status=206
-:status=304
-:status=400
-:status=404
-:status=500
-accept-charset
-accept-encoding=gzip, deflate
-accept-language
-accept-ranges
-accept
-access-control-allow-origin
-age
-allow
-authorization
-cache-control
-content-disposition
-content-encoding
-content-language
-content-length
-content-location
-content-range
-content-type
-cookie
-date
-etag
-expect
-expires
-from
-host
-if-match
-if-modified-since
-if-none-match
-if-range
-if-unmodified-since
-last-modified
-link
-location
-max-forwards
-proxy-authenticate
-proxy-authorization
-range
-referer
-refresh
-retry-after
-server
-set-cookie
-strict-transport-security
-transfer-encoding
-user-agent
-vary
-via
-www-authenticate""".split("\n")
+    (":authority", ""),
+    (":method", "GET"),
+    (":method", "POST"),
+    (":path", "/"),
+    (":path", "/index.html"),
+    (":scheme", "http"),
+    (":scheme", "https"),
+    (":status", "200"),
+    (":status", "204"),
+    (":status", "206"),
+    (":status", "304"),
+    (":status", "400"),
+    (":status", "404"),
+    (":status", "500"),
+    ("accept-charset", ""),
+    ("accept-encoding", "gzip, deflate"),
+    ("accept-language", ""),
+    ("accept-ranges", ""),
+    ("accept", ""),
+    ("access-control-allow-origin", ""),
+    ("age", ""),
+    ("allow", ""),
+    ("authorization", ""),
+    ("cache-control", ""),
+    ("content-disposition", ""),
+    ("content-encoding", ""),
+    ("content-language", ""),
+    ("content-length", ""),
+    ("content-location", ""),
+    ("content-range", ""),
+    ("content-type", ""),
+    ("cookie", ""),
+    ("date", ""),
+    ("etag", ""),
+    ("expect", ""),
+    ("expires", ""),
+    ("from", ""),
+    ("host", ""),
+    ("if-match", ""),
+    ("if-modified-since", ""),
+    ("if-none-match", ""),
+    ("if-range", ""),
+    ("if-unmodified-since", ""),
+    ("last-modified", ""),
+    ("link", ""),
+    ("location", ""),
+    ("max-forwards", ""),
+    ("proxy-authenticate", ""),
+    ("proxy-authorization", ""),
+    ("range", ""),
+    ("referer", ""),
+    ("refresh", ""),
+    ("retry-after", ""),
+    ("server", ""),
+    ("set-cookie", ""),
+    ("strict-transport-security", ""),
+    ("transfer-encoding", ""),
+    ("user-agent", ""),
+    ("vary", ""),
+    ("via", ""),
+    ("www-authenticate", ""),
 ]
 
 # Lengths of the Huffman codes of RFC 7541, appendix B. ASCII symbols that are shown, by
 # length; of the others the numbers. The code is canonical: codes ascend by length, then by symbol.
 _SHOWN = {5: "012aceiost", 6: " %-./3456789=A_bdfghlmnpru", 7: ":BCDEFGHIJKLMNOPQRSTUVWYjkqvwxyz", 8: "&*,;XZ", 10: "!\"()?", 11: "'+|", 12: "#>", 13: "$@[]~", 14: "^}", 15: "<`{", 19: "\\"}
 _OTHERS = {
-    13: "0",
-    19: "195 208",
-    20: "128 130 131 162 184 194 224 226",
-    21: "153 161 167 172 176 177 179 209 216 217 227 229 230",
-    22: "129 132 133 134 136 146 154 156 160 163 164 169 170 173 178 181 185 186 187 189 190 196 198 228 232 233",
-    23: "1 135 137 138 139 140 141 143 147 149 150 151 152 155 157 158 165 166 168 174 175 180 182 183 188 191 197 231 239",
-    24: "9 142 144 145 148 159 171 206 215 225 236 237",
-    25: "199 207 234 235",
-    26: "192 193 200 201 202 205 210 213 218 219 238 240 242 243 255",
-    27: "203 204 211 212 214 221 222 223 241 244 245 246 247 248 250 251 252 253 254",
-    28: "2 3 4 5 6 7 8 11 12 14 15 16 17 18 19 20 21 23 24 25 26 27 28 29 30 31 127 220 249",
-    30: "10 13 22 256",
+    13: (0,),
+    19: (195, 208),
+    20: (128, 130, 131, 162, 184, 194, 224, 226),
+    21: (153, 161, 167, 172, 176, 177, 179, 209, 216, 217, 227, 229, 230),
+    22: (129, 132, 133, 134, 136, 146, 154, 156, 160, 163, 164, 169, 170, 173, 178, 181, 185, 186, 187, 189, 190, 196, 198, 228, 232, 233),
+    23: (1, 135, 137, 138, 139, 140, 141, 143, 147, 149, 150, 151, 152, 155, 157, 158, 165, 166, 168, 174, 175, 180, 182, 183, 188, 191, 197, 231, 239),
+    24: (9, 142, 144, 145, 148, 159, 171, 206, 215, 225, 236, 237),
+    25: (199, 207, 234, 235),
+    26: (192, 193, 200, 201, 202, 205, 210, 213, 218, 219, 238, 240, 242, 243, 255),
+    27: (203, 204, 211, 212, 214, 221, 222, 223, 241, 244, 245, 246, 247, 248, 250, 251, 252, 253, 254),
+    28: (2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19, 20, 21, 23, 24, 25, 26, 27, 28, 29, 30, 31, 127, 220, 249),
+    30: (10, 13, 22, 256),
 }
 END = 256
 
 
 def _codes() -> dict[tuple[int, int], int]:
     """(length, code) to symbol."""
-    lengths = {ord(c): n for n, shown in _SHOWN.items() for c in shown} | {int(s): n for n, others in _OTHERS.items() for s in others.split()}
+    lengths = {ord(c): n for n, shown in _SHOWN.items() for c in shown} | {s: n for n, others in _OTHERS.items() for s in others}
     out, code, before = {}, 0, 0
     for n, symbol in sorted((n, s) for s, n in lengths.items()):
         code <<= n - before
