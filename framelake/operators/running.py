@@ -9,15 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1 << 18
-#: Buckets that a table is cut into at least, so that a small one is worked on by more than one task.
-SPREAD = 32
-
-
-def bucket_of(df: DataFrame, order: str) -> int:
-    """Ids to a bucket: BUCKET, or fewer where all ids would fall into a few; from the bounds of the order, which Parquet knows."""
-    lo, hi = df.agg(F.min(F.col(f"`{order}`")), F.max(F.col(f"`{order}`"))).first()
-    return BUCKET if lo is None else int(max(1, min(BUCKET, (hi - lo) // SPREAD + 1)))
+#: Ids of a bucket: few enough that a small table is worked on by several tasks, so many that 10**12 ids have 15 million rows to put in one order.
+BUCKET = 1 << 16
 
 
 def summed(df: DataFrame, name: str, value: Column, order: str, bucket: int = BUCKET) -> DataFrame:
