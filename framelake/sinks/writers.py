@@ -81,7 +81,7 @@ def write_dataset(df: DataFrame, layout: Layout, path: str, names: Iterable[str]
     spark, names = df.sparkSession, list(names) if names is not None else None
     fs, place = _folder(spark, path)
     if fs.exists(place) and not overwrite:
-        raise FileExistsError(f"{path} exists already")
+        raise FileExistsError(f"{path} already exists")
     fields = _fields(layout, names)
     made = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows_at = f"{made}/_rows"
