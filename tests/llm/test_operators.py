@@ -164,6 +164,47 @@ def test_license_wrapped_over_lines(spark):
     assert len(once) == 2 * len(set(once))  # a repeated row has its findings again
 
 
+#: Statements of licences that are neither templates nor examples of the class `unknown`.
+UNSEEN = [
+    "Licensed under the Academic Free License version 3.0",
+    "This work is licensed under the Reciprocal Public License, version 1.5",
+    "The contents of this file are subject to the Sun Public License",
+    "This library is made available under the terms of the Zope Public License",
+    "This package is distributed under the terms of the Ruby License",
+    "Published under the Design Science License",
+    "Released under the PostgreSQL License",
+    "This software is licensed under the terms of the Sleepycat License",
+]
+
+
+def test_license_families_left_out(spark):
+    left_out = ["mpl", "agpl", "lgpl", "boost"]
+    known = {f: ts for f, ts in licenses.TEMPLATES.items() if f not in left_out}
+    statements = [licenses.TEMPLATES[f][0] for f in left_out] + UNSEEN
+    plain = ["The pilot showed her license at the gate.", "With permission of the king they built a mill.", "The warranty on the pump ended in may.", "Parking is permitted on sundays.", "Wir gehen morgen in die Stadt."]
+    rng = random.Random(6)
+    noise = [" ".join("".join(rng.choice("abcdeionrst") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(100)]
+    model = licenses.train(noise, licenses.Training(), known)
+    texts = statements + plain + [t for ts in known.values() for t in ts]
+    rows = licenses.scan(docs_of(spark, [(i, noise[i] + "\n" + t, "en", "a") for i, t in enumerate(texts)]), model).collect()
+    said = {}
+    for r in rows:
+        said.setdefault(r["doc_id"], set()).add(r["family"])
+    unseen = [said.get(i, set()) for i in range(len(statements))]
+    assert all(s <= {licenses.UNKNOWN} for s in unseen) and sum(bool(s) for s in unseen) >= len(unseen) - 1, unseen
+    assert not any(i in said for i in range(len(statements), len(statements) + len(plain)))
+    want = [f for f, ts in known.items() for _ in ts]
+    assert [said.get(len(statements) + len(plain) + k) for k in range(len(want))] == [{f} for f in want]
+
+
+def test_license_sample_is_from_all_over_the_text(spark):
+    lines = [f"line{i}" for i in range(400)]
+    docs = docs_of(spark, [(1, "\n".join(lines), "en", "a"), (2, "start " + "x" * 9000 + " end", "en", "a")])
+    got = licenses.corpus_lines(docs, licenses.Training())
+    assert sum(s.startswith("line") for s in got) == 40 and {*got} & {*lines[200:]} and {*got} & {*lines[:200]}
+    assert [len(s) for s in got if not s.startswith("line")] == [2000]
+
+
 # 3 sharding
 
 
