@@ -272,7 +272,8 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.model.labels)), np.float32)
 
-    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """By text: the language of the greatest mean posterior, that mean, and the mean of each word's greatest posterior."""
         if len(self.index) > KEEP_WORDS:
             self._clear()
         index, known = self.index, len(self.index)
@@ -291,35 +292,38 @@ class Labeller:
         n = np.array(lengths, np.int64)
         some = np.flatnonzero(n)
         post = posteriors(self.scores[np.array(flat, np.int64)], n[some], self.model.trans)
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        langs, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if len(some):
-            means = np.add.reduceat(post, np.concatenate([[0], np.cumsum(n[some])[:-1]]), axis=0) / n[some][:, None]
+            starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+            means = np.add.reduceat(post, starts, axis=0) / n[some][:, None]
             means = np.round(means, 12)
-            for i, j, m in zip(some, means.argmax(1), means, strict=True):
-                langs[i], scores[i] = self.model.labels[j], float(min(1.0, max(0.0, m[j])))
-        return langs, scores
+            best = np.add.reduceat(post.max(1), starts) / n[some]
+            for i, j, m, b in zip(some, means.argmax(1), means, best, strict=True):
+                langs[i], scores[i], sure[i] = self.model.labels[j], float(min(1.0, max(0.0, m[j]))), float(min(1.0, b))
+        return langs, scores, sure
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
-    """struct<lang_pred: string, score: double> of a text. A batch of rows is worked on in parts of about a million characters."""
+    """struct<lang_pred: string, score: double, sure: double> of a text; sure is the mean of each word's greatest posterior, whatever its language. A batch of rows is worked on in parts of about a million characters."""
     if model is None:
-        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("sure"))
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
+    @F.pandas_udf("struct<lang_pred: string, score: double, sure: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = held(f"langid {model.key}", lambda: Labeller(model))
         for batch in batches:
-            langs, scores, part, chars = [], [], [], 0
+            langs, scores, sure, part, chars = [], [], [], [], 0
             for t in [*batch, ...]:
                 if t is not ...:
                     part.append(t)
                     chars += len(t or "")
                 if part and (t is ... or chars >= 1_000_000):
-                    a, b = own.texts(part)
+                    a, b, c = own.texts(part)
                     langs += a
                     scores += b
+                    sure += c
                     part, chars = [], 0
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "sure": sure})
             del batch, t
         release_memory()
 
@@ -329,4 +333,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
 def identify(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; learned from the rows that aren't held out."""
     model = fit(docs, sample)
-    return docs.select("doc_id", (fold() == 2).alias("held_out"), predict(docs, model).alias("r")).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "r.*")
+    return docs.select("doc_id", (fold() == 2).alias("held_out"), predict(docs, model).alias("r")).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "r.lang_pred", "r.score")

@@ -77,6 +77,21 @@ def test_language(spark, staged):
     assert {9001, 9002} & {r["doc_id"] for r in staged[1]} == set()
 
 
+def test_language_keeps_text_of_many_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = {}
+    for r in docs.filter("n_chars > 2000").orderBy("doc_id").collect():
+        long.setdefault(r["lang"], langid.WORDS.findall(r["text"].lower()))
+    assert len(long) >= 4
+    mixed = " ".join(" ".join(long[lang][i : i + 20]) for i in range(0, 80, 20) for lang in sorted(long))
+    junk = " ".join("qxj zzv wkp vvq".split() * 40)
+    extra = spark.createDataFrame([(9100, mixed, None, "src0", 0), (9101, junk, None, "src0", 0)], docs.schema)
+    model = langid.fit(docs)
+    score, sure = extra.select(langid.predict(extra, model).alias("r")).select("r.score", "r.sure").first()
+    assert score < corpus_pipeline.LEAST_SCORE and sure >= corpus_pipeline.LEAST_SURE
+    assert 9100 in {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(extra), SF).collect()}
+
+
 def test_exact(staged):
     assert as_count(staged[2]) == as_count(brute_exact(staged[1]))
 
