@@ -18,14 +18,15 @@ from framelake.llm import bpe, exact_dedup, langid, mixing, simhash
 from framelake.llm.common import cut, ensure_checkpoint_dir, remove
 from framelake.llm.queries import tokenizer_path
 
-#: Documents whose language has less than this mean posterior are in none of the languages.
-LEAST_SCORE = 0.4
+#: Documents whose language has less than this mean posterior are in none of the languages, unless they are in several:
+#: their words' own greatest posteriors then have this mean.
+LEAST_SCORE, LEAST_SURE = 0.4, 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no letter, and what is in no language that was learned."""
     said = langid.predict(docs, langid.fit(docs))
-    return docs.withColumn("__said", said).filter((F.col("__said.lang_pred") != langid.UNKNOWN) & (F.col("__said.score") >= LEAST_SCORE)).select(*[docs[c] for c in docs.columns])
+    return docs.withColumn("__said", said).filter((F.col("__said.lang_pred") != langid.UNKNOWN) & ((F.col("__said.score") >= LEAST_SCORE) | (F.col("__said.sure") >= LEAST_SURE))).select(*[docs[c] for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
