@@ -258,12 +258,29 @@ def _can_parts(data: bytes) -> tuple[int, bool, bool, int, bytes]:
     return word & 0x9FFFFFFF, bool(word & 0x40000000), bool(flags & 4) or size > 8, flags, data[8 : 8 + size]
 
 
+def _asc_line(time: int, data: bytes, channel: int, link_type: int) -> bytes:
+    """A line of an Ethernet or a LIN message."""
+    stamp = f"{time // 10**9}.{time % 10**9:09d}"
+    if link_type == 1:
+        if not 14 <= len(data) <= 1518:
+            raise ValueError("not an Ethernet frame that a line holds")
+        return f"{stamp} ETH {channel} Rx {len(data):x}:{data.hex().upper()}\n".encode()
+    if len(data) < 8:
+        raise ValueError("not a LIN frame")
+    size, model = data[4] >> 4, {1: " CSM = classic", 2: " CSM = enhanced"}.get(data[4] & 3, "")
+    value = "".join(f" {b:02X}" for b in data[8 : 8 + size])
+    return f"{stamp} {'Li' if channel == 1 else f'L{channel}'} {data[5] & 63:X} Rx {size:x}{value} checksum = {data[6]:X}{model}\n".encode()
+
+
 def asc_bytes(frames: Iterable[tuple], link_type: int = 227) -> Iterator[bytes]:
-    """Lines of CAN and CAN FD messages with absolute times; the third of a frame is its channel, else 1."""
-    if link_type != 227:
-        raise ValueError("ASC files hold SocketCAN frames (link type 227)")
+    """Lines of CAN and CAN FD, LIN or Ethernet messages with absolute times; the third of a frame is its channel, else 1."""
+    if link_type not in (1, 212, 227):
+        raise ValueError("ASC files hold Ethernet (1), LIN (212) or SocketCAN frames (227)")
     yield b"date Thu Jan 1 12:00:00 am 1970\nbase hex  timestamps absolute\nno internal events logged\n"
     for time, data, *more in frames:
+        if link_type != 227:
+            yield _asc_line(time, data, more[0] if more else 1, link_type)
+            continue
         ident, remote, fd, flags, value = _can_parts(data)
         shown = f"{ident & 0x1FFFFFFF:X}" + ("x" if ident >> 31 else "")
         stamp, channel, body = f"{time // 10**9}.{time % 10**9:09d}", more[0] if more else 1, value.hex(" ").upper()

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import io
 import os
+import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -176,12 +178,12 @@ def can_fd(ident: int, data: bytes, brs: bool, esi: bool) -> bytes:
     return struct.pack(">IBB2x", ident, len(data), 4 | brs | esi << 1) + data
 
 
-def lin_frame(ident: int, data: bytes) -> bytes:
-    """A LIN frame with its protected id and enhanced checksum."""
+def lin_frame(ident: int, data: bytes, checksum: int | None = None, model: int = 2) -> bytes:
+    """A LIN frame with its protected id; the checksum is the enhanced one where none is given. model: 1 classic, 2 enhanced, 0 not said."""
     from framelake.dissect.app import lin_checksum, lin_parity
 
     pid = ident & 63 | lin_parity(ident & 63) << 6
-    return struct.pack(">B3xBBBB", 1, len(data) << 4 | 2, pid, lin_checksum(data, pid), 0) + data
+    return struct.pack(">B3xBBBB", 1, len(data) << 4 | model, pid, lin_checksum(data, pid) if checksum is None else checksum, 0) + data
 
 
 def flexray_frame(ident: int, cycle: int, crc: int, data: bytes, b: bool = False) -> bytes:
@@ -269,17 +271,108 @@ def _ident(shown: str, radix: int) -> int:
     return int(shown.rstrip("xX"), radix) | (0x80000000 if shown[-1] in "xX" else 0)
 
 
+_LIN_SUM = re.compile(r"checksum\s*[=:]\s*([0-9a-f]+)", re.IGNORECASE)
+_LIN_MODEL = re.compile(r"CSM\s*[=:]\s*(classic|enhanced)", re.IGNORECASE)
+_BUS = re.compile(r"Li|L[0-9]+|Fr|ETH|AFDX", re.IGNORECASE)
+
+
+def _numbers(words: list[str], radix: int, most: int) -> bytes:
+    """The bytes at the start of words, as far as they are bytes."""
+    out = bytearray()
+    for w in words[:most]:
+        try:
+            value = int(w, radix)
+        except ValueError:
+            break
+        if not 0 <= value <= 255:
+            break
+        out.append(value)
+    return bytes(out)
+
+
+def _asc_lin(words: list[str], radix: int) -> tuple[int, int, bytes]:
+    """After the time: channel, id, direction if there is one, length, bytes, then named values."""
+    channel = 1 if words[0].lower() == "li" else int(words[0][1:])
+    ident, at = int(words[1], radix), 3 if words[2].lower() in ("rx", "tx", "txrq", "slave", "master") else 2
+    size = int(words[at], radix)
+    if not 0 <= ident <= 63 or not 0 <= size <= 8 or (channel < 2 and words[0].lower() != "li") or channel > 255:
+        raise ValueError("not a LIN line")
+    tail = " ".join(words[at + 1 :])
+    told, model = _LIN_SUM.search(tail), _LIN_MODEL.search(tail)
+    kind = {"classic": 1, "enhanced": 2}[model[1].lower()] if model else 0
+    return LINK_LIN, channel, lin_frame(ident, _numbers(words[at + 1 :], radix, size), int(told[1], radix) & 255 if told else 0, kind)
+
+
+def _asc_flexray(words: list[str], radix: int) -> tuple[int, int, bytes]:
+    """RMSG or PDU: cluster, client, channel, mask, slot, cycle, direction, four values, header CRC, name, length, logged length,
+    bytes. Before: channel, version, slot, cycle, two flags, header CRC, name, length, bytes."""
+    if words[1].upper() in ("RMSG", "PDU"):
+        channel, mask, slot, cycle = (int(w, radix) for w in words[4:8])
+        crc, size, logged, data = int(words[13], radix), int(words[15], radix), int(words[16], radix), words[17:]
+        if mask not in (1, 2, 3) or logged > size or words[8].lower() not in ("rx", "tx"):
+            raise ValueError("not a FlexRay line")
+        value = _numbers(data, radix, logged)
+        if len(value) < logged:
+            raise ValueError("bytes are missing")
+        value, second = value.ljust(size, b"\0"), mask != 1
+    else:
+        shown = words[1].upper()
+        second = shown == "B" or shown == "2"
+        channel = "AB".index(shown) + 1 if shown in ("A", "B") else int(shown, radix)
+        slot, cycle, crc, size = (int(words[i], radix) for i in (3, 4, 7, 9))
+        value = _numbers(words[10:], radix, size)
+    if not (0 <= slot < 2048 and 0 <= cycle < 64 and 0 <= size <= 254):
+        raise ValueError("not a FlexRay line")
+    return LINK_FLEXRAY, channel, flexray_frame(slot, cycle, crc, value, second)
+
+
+def _asc_ethernet(words: list[str], radix: int) -> tuple[int, int, int, str]:
+    """Link type, channel, length and the hex digits of the line; more of them may follow on lines of their own."""
+    at = 6 if words[0].upper() == "AFDX" else 3
+    if words[2].lower() not in ("rx", "tx", "txrq", "txfwd"):
+        raise ValueError("not a packet")
+    size, colon, digits = "".join(words[at:]).partition(":")
+    if not colon or not 0 <= int(size, radix) <= 1518 or not set(digits) <= set(string.hexdigits):
+        raise ValueError("not a packet")
+    return LINK_ETHERNET, int(words[1]), int(size, radix), digits
+
+
 def asc(f: BinaryIO) -> Iterator[Frame]:
-    """Lines of CAN and CAN FD messages. Times are absolute, or since the line before."""
+    """Lines of CAN, CAN FD, LIN, FlexRay and Ethernet messages. Times are absolute, or since the line before. Other lines, and such as break their form, are left out."""
     relative, radix, now = False, 16, 0
+    begun: tuple[int, int, int, str] | None = None  # a packet whose digits go on: time, channel, length, digits
     for line in io.TextIOWrapper(f, "utf-8", "replace"):
         words = line.split()
         if not words:
             continue
+        if begun:
+            if all(c in string.hexdigits for w in words for c in w):
+                begun = (*begun[:3], begun[3] + "".join(words))
+                if len(begun[3]) >= 2 * begun[2]:
+                    yield begun[0], LINK_ETHERNET, begun[1], bytes.fromhex(begun[3][: 2 * begun[2]])
+                    begun = None
+                continue
+            begun = None
         if words[0].lower() == "base":
             radix = 16 if "hex" in line.lower() else 10
             relative = "relative" in line.lower()
             continue
+        if len(words) >= 5 and words[0][0].isdigit() and _BUS.fullmatch(words[1]):
+            try:
+                stamp, bus = _nanos(words[0]), words[1].lower()
+                if bus in ("eth", "afdx"):
+                    link, channel, size, digits = _asc_ethernet(words[1:], radix)
+                    value = bytes.fromhex(digits[: 2 * size]) if len(digits) >= 2 * size else None
+                else:
+                    link, channel, value = (_asc_flexray if bus == "fr" else _asc_lin)(words[1:], radix)
+            except (ValueError, IndexError):
+                continue
+            now = now + stamp if relative else stamp
+            if value is None:
+                begun = (now, channel, size, digits)
+            else:
+                yield now, link, channel, value
+            continue
         if len(words) >= 9 and words[0][0].isdigit() and words[1].upper() == "CANFD" and words[2].isdigit():
             # channel, direction, id, a name or none, two flags, the length's code, the length, bytes
             rest = words[5:] if words[5] in ("0", "1") and words[6] in ("0", "1") else words[6:]

@@ -108,6 +108,36 @@ def test_can_logs_round_trip(kind):
     assert list(captures.parse(io.BytesIO(b"".join(writers.WRITERS[kind]([]))), tolerant=False)) == []
 
 
+def lines(text):
+    return list(captures.parse(io.BytesIO(text.encode()), tolerant=False))
+
+
+def test_other_buses_in_asc():
+    head = "date Thu Jan 1 12:00:00 am 1970\nbase hex  timestamps absolute\n"
+    lin = lines(head + "0.1 Li 3C Rx 4 01 02 03 04 checksum = F0 CSM = classic\n0.2 L2 11 2 AA BB checksum = 1\n0.3 L1 11 2 AA BB\n0.4 Li 40 Rx 1 00\n0.5 Li 5 Rx 9 00\n0.6 Li 7 RcvError 8 1\n")
+    assert [(t, link, c) for t, link, c, _ in lin] == [(100_000_000, 212, 1), (200_000_000, 212, 2)]
+    assert lin[0][3][4:8] == bytes([0x41, 0x3C, 0xF0, 0]) and lin[0][3][8:] == bytes([1, 2, 3, 4])
+    assert lin[1][3][4:8] == bytes([0x20, 0x11, 1, 0]) and lin[1][3][8:] == b"\xaa\xbb"
+    ray = lines(head + "1.0 Fr RMSG 0 0 1 1 10 5 Rx 0 0 0 0 123 x 4 2 AA BB\n1.1 Fr RMSG 0 0 2 3 10 5 Tx 0 0 0 0 123 x 2 2 AA BB\n1.2 Fr 1 V9 10 5 0 0 123 x 2 AA BB\n1.3 Fr RMSG 0 0 1 1 800 5 Rx 0 0 0 0 123 x 0 0\n1.4 Fr RMSG 0 0 1 4 10 5 Rx 0 0 0 0 123 x 0 0\n1.5 Fr RMSG 0 0 1 1 10 5 Rx 0 0 0 0 123 x 2 2 AA\n1.6 Fr STAT 1\n")
+    assert [(t // 10**8, link, c) for t, link, c, _ in ray] == [(10, 210, 1), (11, 210, 2), (12, 210, 1)]
+    assert [d for *_, d in ray] == [captures.flexray_frame(16, 5, 0x123, b"\xaa\xbb\0\0"), captures.flexray_frame(16, 5, 0x123, b"\xaa\xbb", True), captures.flexray_frame(16, 5, 0x123, b"\xaa\xbb")]
+    eth = lines(head + "0.5 ETH 1 Rx e:001122334455667788990A0B0C0D\n0.6 ETH 2 TxFwd e:001122334455\n667788990A0B\n0C 0D\n0.65 AFDX 1 Rx 1 0 0 2:0102\n0.7 ETH 1 Rx 4:01zz0304\n0.8 ETH 1 STAT 0 0\n0.9 ETH 1 Rx e 00112233\n1.0 ETH 1 Rx e:0011\n1.1 1 7F Rx d 1 AA\n")
+    packet = bytes.fromhex("001122334455667788990A0B0C0D")
+    assert [(t // 10**7, link, c, d) for t, link, c, d in eth[:3]] == [(50, 1, 1, packet), (60, 1, 2, packet), (65, 1, 1, b"\x01\x02")]
+    assert [(t, link) for t, link, _, _ in eth[3:]] == [(1_100_000_000, 227)]
+    apart = lines("base dec  timestamps relative\n0.5 ETH 1 Rx 14:001122334455667788990A0B0C0D\n0.5 Li 17 Rx 1 255\n")
+    assert [t for t, *_ in apart] == [500_000_000, 1_000_000_000] and apart[1][3][5] & 63 == 17 and apart[1][3][8:] == b"\xff"
+
+
+@pytest.mark.parametrize(("link", "frames"), [(1, [(5, bytes(range(60)), 1), (10**10, bytes(1518), 3)]), (212, [(7, captures.lin_frame(0x3C, b"abc"), 1), (9, captures.lin_frame(1, b"", 0xAB, 0), 4), (11, captures.lin_frame(2, bytes(8), 3, 1), 2)])])
+def test_other_buses_round_trip_through_asc(link, frames):
+    data = b"".join(writers.asc_bytes(frames, link))
+    assert [(t, d, c) for t, _, c, d in captures.parse(io.BytesIO(data), tolerant=False)] == frames
+    for bad in (b"short", bytes(2000)) if link == 1 else (b"short",):
+        with pytest.raises(ValueError):
+            list(writers.asc_bytes([(1, bad)], link))
+
+
 def test_many_containers():
     frames = [(i, struct.pack(">IB3x", i % 2048, 8) + i.to_bytes(8, "big"), 1) for i in range(500)]
     data = b"".join(writers.blf_bytes(frames, container=1000))
