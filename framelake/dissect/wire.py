@@ -30,6 +30,10 @@ HEURISTICS: list[tuple[str, Callable[[Column], Column]]] = [
 ]
 
 
+#: Ports from here on may be a client's by chance.
+FREE_PORTS = 1024
+
+
 def register_heuristic(name: str, test: Callable[[Column], Column], first: bool = False) -> None:
     """test: a condition on the column of payload bytes that no fixed port claims."""
     HEURISTICS.insert(0 if first else len(HEURISTICS), (name, test))
@@ -139,13 +143,16 @@ def dissect(frames: DataFrame, data: str = "data", frame_id: str = "frame_id", t
     each_tag = lambda f: F.when(F.col("__tags") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__tags") - 1, F.lit(0))), f)).otherwise(F.array().cast("array<bigint>"))
     tci = each_tag(lambda i: u(d, 14 + 4 * i, 2))
     flags = F.when(tcp, u(d, at + 13, 1))
-    app = F.lit(None).cast("string")
-    for cond, table in ((udp, UDP_PORTS), (tcp, TCP_PORTS)):
-        for number, name in table.items():
-            app = F.when(cond & ((u(d, at, 2) == number) | (u(d, at + 2, 2) == number)) & (F.octet_length("__payload") > 0), name).otherwise(app)
     probed = F.lit(None).cast("string")
     for name, test in reversed(HEURISTICS):
         probed = F.when(test(F.col("__payload")), name).otherwise(probed)
+    app = F.lit(None).cast("string")
+    for cond, table in ((udp, UDP_PORTS), (tcp, TCP_PORTS)):
+        for number, name in table.items():
+            source = u(d, at, 2) == number
+            if number >= FREE_PORTS:  # as a source port it says nothing if the payload is of another layer
+                source = source & F.coalesce(probed == name, F.lit(True))
+            app = F.when(cond & (source | (u(d, at + 2, 2) == number)) & (F.octet_length("__payload") > 0), name).otherwise(app)
     app = F.coalesce(app, F.when((udp | tcp) & (F.octet_length("__payload") > 0), probed))
     if linked:
         for number, name in BUSES.items():
