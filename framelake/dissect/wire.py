@@ -148,7 +148,7 @@ def dissect(frames: DataFrame, data: str = "data", frame_id: str = "frame_id", t
         probed = F.when(test(F.col("__payload")), name).otherwise(probed)
     app = F.lit(None).cast("string")
     for cond, table in ((udp, UDP_PORTS), (tcp, TCP_PORTS)):
-        for number, name in table.items():
+        for number, name in sorted(table.items(), reverse=True):  # the lower of two known ports, which is the server's as a rule, is set last
             source = u(d, at, 2) == number
             if number >= FREE_PORTS:  # as a source port it says nothing if the payload is of another layer
                 source = source & F.coalesce(probed == name, F.lit(True))
