@@ -30,6 +30,13 @@ HEURISTICS: list[tuple[str, Callable[[Column], Column]]] = [
 ]
 
 
+def _someip(p: Column) -> Column:
+    """A header of version 1 whose length counts its own second half."""
+    return (F.octet_length(p) >= 16) & (W.be(p, 12, 1) == 1) & (W.be(p, 4, 4) >= 8)
+
+
+#: What a payload holds for sure if it is of a layer that no probe above knows.
+PLAUSIBLE: dict[str, Callable[[Column], Column]] = {"someip": _someip}
 #: Ports from here on may be a client's by chance.
 FREE_PORTS = 1024
 
@@ -151,7 +158,8 @@ def dissect(frames: DataFrame, data: str = "data", frame_id: str = "frame_id", t
         for number, name in sorted(table.items(), reverse=True):  # the lower of two known ports, which is the server's as a rule, is set last
             source = u(d, at, 2) == number
             if number >= FREE_PORTS:  # as a source port it says nothing if the payload is of another layer
-                source = source & F.coalesce(probed == name, F.lit(True))
+                fits = PLAUSIBLE[name](F.col("__payload")) if name in PLAUSIBLE else F.coalesce(probed == name, F.lit(True))
+                source = source & fits
             app = F.when(cond & (source | (u(d, at + 2, 2) == number)) & (F.octet_length("__payload") > 0), name).otherwise(app)
     app = F.coalesce(app, F.when((udp | tcp) & (F.octet_length("__payload") > 0), probed))
     if linked:

@@ -9,7 +9,7 @@ from framelake.queries import ORACLE, QUERIES
 
 #: Users whose source ports are 8080, 30490, 5353 and 9443, and one whose number is 5 in 16 bits; with them users of a service.
 USERS = (5, 7056, 29466, 4329, 8419, 65541)
-QUERY_NAMES = ["app_field_table", "frame_buffers", "flt_dns_flag"]
+QUERY_NAMES = ["app_field_table", "frame_buffers", "flt_dns_flag", "ip_reassembled_udp"]
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,9 @@ SOMEIP = bytes.fromhex("00050102" + "00000008" + "00000001" + "01010000")
         (6, 40000, 8080, HELLO, "http"),
         (17, 30490, 53, SOMEIP, "dns"),
         (17, 53, 30490, SOMEIP, "dns"),
+        (17, 30490, 5000, b'{"k": 69}', None),
+        (17, 30490, 5000, SOMEIP, "someip"),
+        (17, 5000, 30490, b"cut", "someip"),
     ],
 )
 def test_ports(spark, transport, source, target, payload, want):
