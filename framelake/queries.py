@@ -337,7 +337,7 @@ query("wire_dispatch", "select event_id as packet_id, list_aggregate(list_concat
     lambda s, d: _wire(s, d).filter(F.octet_length("payload") > 0).select("packet_id", F.array_join("protocols", "/").alias("stack"))
 )
 query("wire_checksum", "select event_id as packet_id, 'Good' as status from events")(lambda s, d: _firsts(_wire(s, d), status="ip.checksum.status"))
-query("wire_filter", f"select event_id as packet_id from events where event_type <> 'purchase' and ({_PORT}) in (53, 5353) and 64 - event_id % 8 < 62")(lambda s, d: apply_filter(_wire(s, d), "udp.port in {53, 5353} && ip.ttl < 62", wire.layout()).select("packet_id"))
+query("wire_filter", f"select event_id as packet_id from events where event_type <> 'purchase' and ({_PORT}) in (53, 5353) and 64 - event_id % 8 < 62")(lambda s, d: apply_filter(_wire(s, d), "udp.dstport in {53, 5353} && ip.ttl < 62", wire.layout()).select("packet_id"))
 query("flt_slice", "select event_id as packet_id from events where user_id % 256 = 7")(lambda s, d: apply_filter(_wire(s, d), f"eth.src[0:3] == 02:00:00 && eth.src[4:6] in {{{', '.join(f'{i:02X}:07' for i in range(256))}}} && len(eth.src) == 6", wire.layout()).select("packet_id"))
 query("flt_mac_slice_never_equal", "select event_id as packet_id from events where false")(lambda s, d: apply_filter(_wire(s, d), "eth.dst[0:6] == 02:00:00:00:00:01", wire.layout()).select("packet_id"))
 query("flt_mac", "select event_id as packet_id from events")(lambda s, d: apply_filter(_wire(s, d), "eth.dst == 02:00:00:00:00:01", wire.layout()).select("packet_id"))
