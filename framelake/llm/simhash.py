@@ -104,7 +104,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     heavy = postings.join(counts.filter(F.col("n") > LIGHT).select("slot", "key"), ["slot", "key"])
     if bits == 2:
         near = heavy.select("slot", "fp", F.explode(_other_bits()).alias("mask")).select("slot", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
-        met = near.groupBy("slot", "centre").agg(F.collect_list("fp").alias("m")).filter(F.size("m") > 1)
+        met = near.groupBy("slot", "centre").agg(F.sort_array(F.collect_list("fp")).alias("m")).filter(F.size("m") > 1)
         chain = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", F.lit(2), F.size("m"))).alias("b"))
     else:  # within one bit: either of them is the other with one of its 64 bits flipped
         flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b) for b in range(64)][: 64 * bits])
