@@ -35,6 +35,8 @@ def _someip(p: Column) -> Column:
     return (F.octet_length(p) >= 16) & (W.be(p, 12, 1) == 1) & (W.be(p, 4, 4) >= 8)
 
 
+#: Layers that only a TCP segment holds: datagrams aren't probed for them.
+STREAMED = ("http", "tls", "http2")
 #: What a payload holds for sure if it is of a layer that no probe above knows.
 PLAUSIBLE: dict[str, Callable[[Column], Column]] = {"someip": _someip}
 #: Ports from here on may be a client's by chance.
@@ -152,7 +154,8 @@ def dissect(frames: DataFrame, data: str = "data", frame_id: str = "frame_id", t
     flags = F.when(tcp, u(d, at + 13, 1))
     probed = F.lit(None).cast("string")
     for name, test in reversed(HEURISTICS):
-        probed = F.when(test(F.col("__payload")), name).otherwise(probed)
+        found = test(F.col("__payload"))
+        probed = F.when(tcp & found if name in STREAMED else found, name).otherwise(probed)
     app = F.lit(None).cast("string")
     for cond, table in ((udp, UDP_PORTS), (tcp, TCP_PORTS)):
         for number, name in sorted(table.items(), reverse=True):  # the lower of two known ports, which is the server's as a rule, is set last

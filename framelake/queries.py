@@ -311,8 +311,8 @@ def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # wire: what was synthesised is what is dissected
 
 
-def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wire.dissect(views.frames(spark, sf_dir))
+def _wire(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    return wire.dissect(views.frames(spark, sf_dir, every))
 
 
 _PORT = "case event_type when 'click' then 53 when 'view' then 80 when 'purchase' then 443 when 'signup' then 5000 when 'error' then 5353 else 0 end"
@@ -334,7 +334,7 @@ query("wire_tcp", f"select event_id as packet_id, 1024 + user_id % 50000 as srcp
 )
 query("wire_vlan_qinq", "select event_id as packet_id, 0 as occurrence, user_id % 4095 as value from events where event_id % 10 = 0 union all select event_id, 1, event_id % 4095 from events where event_id % 30 = 0")(lambda s, d: projection.field_table(_wire(s, d), wire.layout(), "vlan.id"))
 query("wire_dispatch", "select event_id as packet_id, list_aggregate(list_concat(['frame', 'eth'], case when event_id % 30 = 0 then ['vlan', 'vlan'] when event_id % 10 = 0 then ['vlan'] else [] end, ['ip', case event_type when 'purchase' then 'tcp' else 'udp' end, case event_type when 'click' then 'dns' when 'purchase' then 'tls' else 'data' end]), 'string_agg', '/') as stack from events where octet_length(props::blob) > 0")(
-    lambda s, d: _wire(s, d).filter(F.octet_length("payload") > 0).select("packet_id", F.array_join("protocols", "/").alias("stack"))
+    lambda s, d: _wire(s, d, every=True).filter(F.octet_length("payload") > 0).select("packet_id", F.array_join("protocols", "/").alias("stack"))
 )
 query("wire_checksum", "select event_id as packet_id, 'Good' as status from events")(lambda s, d: _firsts(_wire(s, d), status="ip.checksum.status"))
 query("wire_filter", f"select event_id as packet_id from events where event_type <> 'purchase' and ({_PORT}) in (53, 5353) and 64 - event_id % 8 < 62")(lambda s, d: apply_filter(_wire(s, d), "udp.dstport in {53, 5353} && ip.ttl < 62", wire.layout()).select("packet_id"))

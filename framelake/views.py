@@ -156,11 +156,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # C3: events as Ethernet frames
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, timestamp_ns, data). A purchase is a TCP segment, the rest are UDP; every tenth frame has a VLAN tag, every thirtieth two."""
+def frames(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """(frame_id, timestamp_ns, data). A purchase is a TCP segment, the rest are UDP; every tenth frame has a VLAN tag, every thirtieth two.
+
+    every: an event without a user has the addresses of user 0; otherwise its frame is null.
+    """
     from framelake.dissect import wire
 
-    user, eid = F.col("user_id"), F.col("event_id")
+    user, eid = F.coalesce("user_id", F.lit(0)) if every else F.col("user_id"), F.col("event_id")
     port = F.lit(0)
     for name, number in zip(EVENT_TYPES, (53, 80, 443, 5000, 5353), strict=True):
         port = F.when(F.col("event_type") == name, number).otherwise(port)
