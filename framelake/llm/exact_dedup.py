@@ -122,10 +122,11 @@ def distinct_chunks(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256)
 
 def _verified(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     """recipes() whose digests are verified identifiers: where chunks of one digest differ, the identifier has the chunk itself too."""
-    made = cut(recipes(docs, digest))
-    clashes = cut(distinct_chunks(docs, digest).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
+    made = recipes(docs, digest)
+    clashes = distinct_chunks(docs, digest).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     if clashes.isEmpty():
         return made
+    clashes = cut(clashes)
     schema = "doc_id " + dict(docs.dtypes)["doc_id"] + ", text_sha256 string, pos int, digest binary, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +147,12 @@ def groups(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFr
     """(doc_id, keep_id, group_size, kept, text_sha256, copies) for every row of docs; copies: rows that agree in text and doc_id."""
     found = _verified(docs, digest)
     # rows that agree in text and doc_id are interchangeable: they are counted, and told apart again at the end
-    pairs = found.groupBy("recipe", "doc_id").agg(F.count("*").alias("copies"), F.first("text_sha256").alias("text_sha256"))
-    # written first, so that both sides of the join are plain exchanges, of which Spark splits a part that one recipe fills
-    best = cut(found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    each = pairs.join(best, "recipe")
+    pairs = found.groupBy("recipe", "doc_id", "text_sha256").agg(F.count("*").alias("copies"))
+    best = pairs.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # nothing is written in between: both sides read one exchange of pairs. The hash makes another key than that of best's groups, so that
+    # both sides of the join are plain exchanges, of which Spark splits a part that one recipe fills
+    h = F.xxhash64("recipe")
+    each = pairs.withColumn("h", h).join(best.withColumn("h", h), ["recipe", "h"])
     numbered = each.select("doc_id", "keep_id", "group_size", "text_sha256", "copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i"))
     return numbered.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256", "copies")
 

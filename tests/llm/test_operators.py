@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 import xxhash
 
 from framelake.llm import bpe, chat, exact_dedup, langid, licenses, mixing, near_embed, secrets_ledger, sharding, simhash
+from framelake.llm.common import ensure_checkpoint_dir
 from framelake.llm.components import components
 from framelake.llm.queries import tokenizer_path
 
@@ -403,6 +405,16 @@ def test_exact_with_clashing_digests(spark):
     check_exact(exact_dedup.groups(docs_of(spark, docs)).collect(), docs)
 
 
+def test_exact_writes_no_files(spark):
+    docs = [(i, f"text {i % 50}", "en", "a") for i in range(300)]
+    parts = lambda: {f"{d}/{x}" for d, _, names in os.walk(ensure_checkpoint_dir(spark).removeprefix("file:")) for x in names if x.startswith("part-")}
+    before = parts()
+    found = exact_dedup.groups(docs_of(spark, docs).repartition(40))
+    check_exact(found.collect(), docs)
+    assert parts() == before  # executors may start a process for each file
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1  # texts are chunked once for recipes
+
+
 def test_chunks_follow_content():
     rng = random.Random(8)
     text = bytes(rng.randrange(97, 123) for _ in range(60_000))
